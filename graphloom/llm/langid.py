@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, own
 from .textbuf import blocks, row_sums
 
 #: The longest context, in bytes.
@@ -143,10 +143,7 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, l
             cost = np.where(hit, base_cost[:, None] + np.log2(np.maximum(total + kinds, 1))[:, None] - np.log2(np.maximum(c, 1)), cost)
             open_ &= ~hit
             base_cost = base_cost + np.where(some, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
-            root = at == 0
-            at = suffix[at]
-            # a state whose chain is over has coded all that the empty context has seen: it has no open kind left
-            del root
+            at = suffix[at]  # once the empty context has had its turn, none of its kinds is open
         left = 256 - (~open_[:, 1:]).sum(axis=1)
         cost = np.where(open_, (base_cost + np.log2(np.maximum(left, 1)))[:, None], cost)
         bits[:, :, k] = cost
@@ -234,4 +231,4 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 def accepted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, with their columns, whose language ``identify`` tells."""
     out, name = _identified(docs, docs if labelled is None else labelled)
-    return out.filter(F.col(f"{name}.lang").isNotNull()).select(*(out[c] for c in docs.columns))
+    return out.filter(F.col(f"{name}.lang").isNotNull()).select(*own(docs))

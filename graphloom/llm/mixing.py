@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name
+from .shared import cut, free_name, own
 
 SEED = 41
 #: Rates of at most so many sources are broadcast; more are joined by a shuffle with the documents.
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     head = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     times = F.floor(F.col(r)) + F.when(head / F.lit(float(1 << 52)) < F.col(r) - F.floor(F.col(r)), 1).otherwise(0)
     out = joined.withColumn(n, F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))))
-    return out.select(*(docs[c] for c in docs.columns), *([F.col(n).alias(copy)] if copy else []))
+    return out.select(*own(docs), *([F.col(n).alias(copy)] if copy else []))
 
 
 def sql(seed: int = SEED) -> str:

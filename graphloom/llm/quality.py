@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name, join_checked
+from .shared import cut, free_name, join_checked, own
 from .textbuf import CLASSES, blocks, mix, row_sums, tokens
 
 BUCKETS = 1 << 16
@@ -180,7 +180,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     p, key = free_name(docs, "p_good"), free_name(docs, "gumbel_key")
     out = _keys(docs, fit(docs, labels), p, key)
     least = _least_key(cut(out.filter(F.col(key).isNotNull()).select(F.col(key).alias("v"), F.col(p).alias("p"))))
-    return out.filter(F.col(key) >= F.lit(least)).select(*(out[c] for c in docs.columns))
+    return out.filter(F.col(key) >= F.lit(least)).select(*own(docs))
 
 
 def quality_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:

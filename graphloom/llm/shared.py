@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one or two longs that a join may broadcast; beyond this the join shuffles.
@@ -60,3 +60,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, by their exact names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

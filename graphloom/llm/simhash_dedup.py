@@ -104,13 +104,12 @@ def duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
     Groups are the connected components of near pairs; the least ``doc_id`` of a group stays. Documents
     without near-duplicates aren't in the result. Null and wordless texts are nobody's duplicate. Rows
-    without a ``doc_id`` aren't compared. Rows that share a ``doc_id`` are one document, which is in the
-    groups of all of its texts. Other columns of ``docs`` aren't read. No rows give no rows.
+    without a ``doc_id`` aren't compared. Rows that share a ``doc_id`` are one document, which goes if any of
+    its texts has a near-duplicate with a lesser ``doc_id``; equal rows alone don't make it go. Other columns of ``docs`` aren't read. No rows give no rows.
     """
     signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id long, " + ", ".join(f"{w} long" for w in WORDS)))
-    nodes = signed.groupBy(*WORDS).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     # the same least doc_id can stand for two signatures when rows share it, so nodes are numbered by signature
-    nodes = cut(nodes.withColumn("least", F.col("node")).withColumn("node", F.xxhash64(*WORDS)))
+    nodes = cut(signed.groupBy(*WORDS).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*WORDS)))
     pairs = near_pairs(nodes.select("node", *WORDS), max_distance)
     member = signed.withColumn("sig", F.xxhash64(*WORDS)).select("sig", "doc_id")
     # Edges among documents: to the least document of the same signature, and between the least of near ones.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name
+from .shared import cut, free_name, own
 
 #: Bits of a block, which is the four longs of one row.
 BLOCK_BITS = 256
@@ -86,12 +86,11 @@ def unlisted(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame
     probed = pages.withColumn(c, canonical(pages[url].cast("string")))
     probed = probed.withColumn(b, _block(F.col(c), blocks))
     probed = probed.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, b, "left")
-    hit = F.coalesce(F.lit(True) & F.col(c).isNotNull(), F.lit(False))
+    hit = F.col(c).isNotNull()
     for name, mask in zip(m, _masks(F.col(c))):
         hit = hit & (F.coalesce(F.col(name), F.lit(0).cast("long")).bitwiseAND(mask) == mask)
-    own = pages.columns
-    passed = probed.filter(~hit).select(*(probed[x] for x in own))
-    possible = probed.filter(hit).join(keys.select(F.col("url").alias(c)), c, "left_anti").select(*(F.col(f"`{x}`") for x in own))
+    passed = probed.filter(~hit).select(*own(pages))
+    possible = probed.filter(hit).join(keys.select(F.col("url").alias(c)), c, "left_anti").select(*own(pages))
     return passed.union(possible)
 
 
