@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import langid, mixing, quality, sentencepieces, simhash_dedup
-from graphloom.llm.shared import cut, join_checked, rewritten, table
+from graphloom.llm.shared import cut, join_checked, own, rewritten, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows without a ``doc_id`` stay."""
     gone = cut(simhash_dedup.duplicates(docs).select("doc_id"))
-    return join_checked(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    return join_checked(docs, gone, "doc_id", "left_anti").select(*own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
