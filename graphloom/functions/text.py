@@ -82,6 +82,17 @@ def label_variants(c: Column) -> Column:
     )
 
 
+def name_variations(c: Column, nicknames: dict[str, str], most: int = 3) -> Column:
+    """Other ways to write a person's name, ``most`` at most: initials with dots, and short or long forms of the first name."""
+    first, rest = F.substring_index(c, " ", 1), F.substr(c, F.length(F.substring_index(c, " ", 1)) + 1)
+    pairs = nicknames | {v: k for k, v in nicknames.items()}
+    other = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))[F.lower(first)] if pairs else F.lit(None).cast("string")
+    dotted = F.when(first.rlike("^[A-Z]{2,3}$"), F.concat(F.regexp_replace(first, "([A-Z])", "$1."), rest))
+    spaced = F.when(first.rlike(r"^([A-Z]\.)+$"), F.concat(F.replace(first, F.lit("."), F.lit("")), rest))
+    nick = F.when(other.isNotNull(), F.concat(F.initcap(other), rest))
+    return F.slice(F.array_distinct(F.filter(F.array(dotted, spaced, nick), lambda x: x.isNotNull() & (x != c))), 1, most)
+
+
 def words(c: Column) -> Column:
     """The runs of characters between spaces, tabs and line ends."""
     return F.filter(F.split(c, "[ \\t\\n\\r]+"), lambda w: w != "")

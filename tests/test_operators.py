@@ -170,6 +170,8 @@ def test_vectors(spark):
         d = ((x - x[i]) ** 2).sum(axis=1)
         assert [exact[i, k + 1] for k in range(20)] == list(np.lexsort((np.arange(300), np.round(d, 9)))[:20])
     assert vectors.knn_flat(df, q, 1000).count() == 600 and vectors.knn_flat(df, q.filter("false"), 5).count() == 0
+    blocked = vectors.knn_blocks(df, q, 20, query_block=1, vector_block=64)
+    assert {(r.query_id, r.rank): r.id for r in blocked.collect()} == exact
     c = vectors.train_lists(df, 8, 3)
     a = vectors.assign(df, c)
     assert {(r.query_id, r.rank): r.id for r in vectors.knn_ivf(a, q, c, 20, 8).collect()} == exact

@@ -64,3 +64,8 @@ def test_rest(spark):
     assert [r[0] for r in df.select(X.display_label(F.array(F.lit("abc"), F.lit("aBc")), F.lit("x_y"))).collect()][0] == "aBc"
     assert len({r[0] for r in df.select(X.instance_iri(F.col("l"), F.lit("A b"))).collect()}) == 3
     assert [r[0] for r in df.select(X.predicate_name(F.lit(" Part of! "))).collect()][0] == "part_of"
+
+
+def test_names(spark):
+    got = apply(spark, lambda c: X.name_variations(c, {"bob": "robert"}), ["JK Rowling", "J.K. Rowling", "Bob Ross", "Robert Ross", "Ann", None])
+    assert got == [["J.K. Rowling"], ["JK Rowling"], ["Robert Ross"], ["Bob Ross"], [], []]
