@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import cut
 
 ENTRY_COLUMNS = {
     "url": "URL", "id": "ID", "title": "Title", "status": "Status", "entry_category": "Entry Type", "entry_type_names": "Formats", "entry_types": "Format Details", "entry_type_ids": "Format IDs",
@@ -61,7 +62,7 @@ def url_index(rows: DataFrame) -> DataFrame:
 def replace_urls(rows: DataFrame, column: str, urls: DataFrame) -> DataFrame:
     """A printed list, or a single text, of URLs as an array of titles in the same order; unknown URLs stay."""
     items = X.repair_urls(F.coalesce(X.parse_list(F.col(column)), F.when(F.col(column).isNotNull(), F.array(column))))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    keyed = cut(rows.withColumn("_row", F.monotonically_increasing_id()))  # both sides of the join need the same numbers
     parts = keyed.select("_row", F.posexplode(items).alias("_pos", "url")).join(urls, "url", "left")
     lists = parts.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("title", "url").alias("t")))), lambda x: x["t"]).alias("_list"))
     return keyed.join(lists, "_row", "left").withColumn(column, F.col("_list")).drop("_row", "_list")
