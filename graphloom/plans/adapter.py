@@ -16,11 +16,12 @@ from .. import vocab as V
 from ..functions.text import slug
 from ..operators.corpus import instance_triples, unified_instances
 from ..schema import iri, literal, melt
-from ..session import shared_folder
+from ..session import importable, shared_folder
 from ..sources.triples import read_store, write_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

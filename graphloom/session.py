@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 1_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that are started from now on import this package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; that of ``spark.checkpoint.dir`` if none is set yet.
 
