@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import langid, mixing, quality, sentencepieces, simhash_dedup
 from graphloom.llm.shared import cut, join_checked, own, rewritten, table
+from graphloom.session import importable
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +16,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, by models of the languages of ``docs``."""
+    importable(spark)
     return langid.accepted(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows without a ``doc_id`` stay."""
+    importable(spark)
     gone = cut(simhash_dedup.duplicates(docs).select("doc_id"))
     return join_checked(docs, gone, "doc_id", "left_anti").select(*own(docs))
 
@@ -31,6 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document."""
+    importable(spark)
     return sentencepieces.encode(docs)
 
 
