@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +17,12 @@ from .textbuf import blocks, row_sums
 #: The longest context, in bytes.
 ORDER = 4
 #: Contexts seen less often than this in the sample of every language are left out of the trees.
-LEAST_SEEN = 8
+LEAST_SEEN = 128
 #: About how many labelled texts of each language fit its model; a hash of doc_id chooses them.
 TEXTS_PER_LANGUAGE = 1_000
 SEED = 29
 #: A text is rejected if its best model needs more bits a byte than this,
-MAX_BITS = 5.5
+MAX_BITS = 7.0
 #: or if the next model needs less than this many bits more for all of it.
 LEAST_MARGIN = 1.0
 
@@ -187,20 +188,20 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def identifier(trees: Trees, max_bits: float = MAX_BITS, least_margin: float = LEAST_MARGIN):
-    """A UDF from texts to (lang, bits, margin); lang is null where the text is rejected."""
-    shared = trees
+def identifier(shared, max_bits: float = MAX_BITS, least_margin: float = LEAST_MARGIN):
+    """A UDF from texts to (lang, bits, margin) by the trees of a broadcast; lang is null where the text is rejected."""
 
     @F.arrow_udf("struct<lang:string,bits:double,margin:double>")
     def identify(texts: pa.Array) -> pa.Array:
-        total = code_lengths(shared, texts)
-        size = np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.float64)
+        trees = shared.value  # loaded once a worker process
+        total = code_lengths(trees, texts)
+        size = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.float64)
         order = np.sort(total, axis=1)
         best = total.argmin(axis=1)
         rate = order[:, 0] / np.maximum(size, 1)
         margin = order[:, 1] - order[:, 0] if total.shape[1] > 1 else np.full(len(total), np.inf)
         good = (size > 0) & (rate <= max_bits) & (margin >= least_margin)
-        lang = pa.array([shared.languages[k] if g else None for k, g in zip(best.tolist(), good.tolist())], pa.string())
+        lang = pa.array([trees.languages[k] if g else None for k, g in zip(best.tolist(), good.tolist())], pa.string())
         return pa.StructArray.from_arrays([lang, pa.array(rate), pa.array(margin)], ["lang", "bits", "margin"])
 
     return identify
@@ -211,7 +212,8 @@ def _identified(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, str]:
     trees = train(labelled)
     if trees is None:
         return docs.withColumn(name, F.lit(None).cast("struct<lang:string,bits:double,margin:double>")), name
-    return docs.withColumn(name, identifier(trees)(F.coalesce(F.col("text").cast("string"), F.lit("")))), name
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    return docs.withColumn(name, identifier(shared)(F.coalesce(F.col("text").cast("string"), F.lit("")))), name
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
