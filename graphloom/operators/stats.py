@@ -225,3 +225,35 @@ def structure_graph(triples: DataFrame, least: int = 50, confidence: float = 0.7
     d = inferred_classes(triples, "domain").select("p", F.col("class").alias("source"), F.col("share").alias("a"))
     r = inferred_classes(triples, "range").filter(~F.col("class").startswith("xsd:")).select("p", F.col("class").alias("target"), F.col("share").alias("b"))
     return classes.unionByName(used.join(d, "p").join(r, "p").select("source", "target", F.col("p").alias("kind"), F.round(F.least("a", "b"), 6).alias("weight")))
+
+
+#: Names that a predicate which is used once may well have.
+SINGLE_NAMES = ["^(has|is)[A-Z]", "^(date|year|time)", "[Cc]ount$", "^same"]
+
+
+def singletons(triples: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Predicates that are used once and have none of the usual names."""
+    usual = F.lit(False)
+    for n in SINGLE_NAMES if names is None else names:
+        usual = usual | local_name(F.col("p")).rlike(n)
+    return property_usage(triples).filter((F.col("n") == 1) & ~usual).select("p")
+
+
+def untyped(triples: DataFrame, prefix: str = "") -> DataFrame:
+    """Nodes without a type: those that have triples, and the triples that they have."""
+    rows = triples.filter(F.col("s").startswith(prefix)).join(types(triples).select("s").distinct(), "s", "left_anti")
+    return rows.agg(F.count_distinct("s").alias("entities"), F.count("*").alias("triples"))
+
+
+def anomalies(triples: DataFrame) -> DataFrame:
+    """(issue, n): how many cases of each kind of anomaly there are."""
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n")
+    return (
+        one(multi_typed(triples).filter("not expected"), "type_combinations").unionByName(one(domain_violations(triples), "domain_violations"))
+        .unionByName(one(singletons(triples), "singleton_properties")).unionByName(untyped(triples).select(F.lit("untyped_entities").alias("issue"), F.col("entities").alias("n")))
+    )
+
+
+def entity_card(triples: DataFrame, entity: str) -> DataFrame:
+    """(p, values, example): what is known of an entity, by predicate."""
+    return match(triples, s=entity).groupBy("p").agg(F.count("*").alias("values"), F.min("o").alias("example"))

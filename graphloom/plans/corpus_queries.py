@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import text as X
-from ..operators import corpus, lineage, linking, patterns, vectors
+from ..operators import corpus, lineage, linking, patterns, stats, vectors
 from .adapter import TEXT_SQL, UNIFIED_SQL, VISION_SQL, entries, graph, instances, node, slug_sql, table, text_rows, unified, vision_rows, with_graph
 
 QUERIES: dict = {}
@@ -400,4 +400,11 @@ def representative_image(spark, sf_dir):
     return lineage.representative(hits.join(parents, "instance"), hits.select("instance", F.col("instance").alias("path")))
 
 
+@query(f"""WITH r AS (SELECT DISTINCT subject, relation, object FROM ({_TOY}) WHERE length(subject) >= 2 AND length(object) >= 2)
+SELECT 'ocr_caption' AS source, (SELECT count(*) FROM r) AS edges, (SELECT count(DISTINCT relation) FROM r) AS predicates, (SELECT count(*) FROM (SELECT subject FROM r UNION SELECT object FROM r)) AS entities""")
+def extraction_stats(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("instance/"), F.col("doc_id").cast("string")).alias("main"), "text")
+    return stats.extraction_stats(linking.relation_triples(linking.toy_relations(texts), "ocr_caption"))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL", "VISION_SQL", "vision_rows"]

@@ -190,8 +190,8 @@ def range_inference(spark, sf_dir):
 
 
 def _overlapping(triples: DataFrame) -> DataFrame:
-    """Further types that make classes overlap: every person of series 1 to 5 is a site, large ones are tags."""
-    n = F.substring_index("s", "/", -1).cast("long")
+    """Further types that make classes overlap: of people, one in ten is a tag and the others are fans."""
+    n = F.substring_index("s", "/", -1).try_cast("long")
     people = patterns.subjects(triples, V.TYPE, V.PERSON)
     return triples.unionByName(melt(people.filter(n % 10 != 0), F.col("s"), iri(V.TYPE, "kg:Fan"))).unionByName(melt(people.filter(n % 10 == 0), F.col("s"), iri(V.TYPE, V.TAG)))
 
@@ -369,3 +369,29 @@ def subgraph_types(spark, sf_dir):
 @query(with_graph(f"SELECT s, p, o, o_kind FROM g WHERE s IN (SELECT s FROM types WHERE t = '{V.INSTANCE}')", instances=True))
 def instance_subgraph(spark, sf_dir):
     return traversal.instance_subgraph(graph(spark, sf_dir)).select("s", "p", "o", "o_kind")
+
+
+_BARE = "SELECT s FROM g WHERE s NOT IN (SELECT s FROM types)"
+_LABELLED_ONLY = f"g2 AS (SELECT s, p, o FROM g WHERE NOT (p = '{V.TYPE}' AND o = '{V.TAG}'))"
+
+
+@query(with_graph(f"SELECT count(DISTINCT s) AS entities, count(*) AS triples FROM g2 WHERE s NOT IN (SELECT s FROM g2 WHERE p = '{V.TYPE}')", extra=_LABELLED_ONLY))
+def untyped(spark, sf_dir):
+    return stats.untyped(entries(spark, sf_dir).filter((F.col("p") != V.TYPE) | (F.col("o") != V.TAG)))
+
+
+@query(with_graph("SELECT p FROM (SELECT p FROM g UNION ALL SELECT * FROM (VALUES ('kg:odd'), ('kg:hasOdd'), ('kg:yearOdd'), ('kg:twice'), ('kg:twice')) v(p)) WHERE p LIKE 'kg:%' GROUP BY p HAVING count(*) = 1 AND NOT regexp_matches(regexp_extract(p, '[^/#:]*$'), '^(has|is)[A-Z]|^(date|year|time)|[Cc]ount$|^same')"))
+def singleton_properties(spark, sf_dir):
+    odd = spark.createDataFrame([(p,) for p in ("kg:odd", "kg:hasOdd", "kg:yearOdd", "kg:twice", "kg:twice")], "p string")
+    rows = odd.select(F.lit("x").alias("s"), "p", F.lit("y").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    return stats.singletons(entries(spark, sf_dir).unionByName(rows))
+
+
+@query(with_graph("SELECT p, count(*) AS values, min(o) AS example FROM g WHERE s = 'customer/7' GROUP BY p"))
+def entity_card(spark, sf_dir):
+    return stats.entity_card(entries(spark, sf_dir), "customer/7")
+
+
+@query()
+def anomalies(spark, sf_dir):
+    return stats.anomalies(_overlapping(entries(spark, sf_dir)).unionByName(ontology(spark)))

@@ -184,6 +184,20 @@ def test_vectors(spark):
     assert sorted(r.v for r in zero) == [[0.0, 0.0], [0.6, 0.8]]
 
 
+def test_noise(spark):
+    df = spark.range(400).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    got = df.select(vectors.add_noise(F.col("v"), F.col("id")).alias("v")).collect()
+    changed = [r.v for r in got if r.v != [1.0, 0.0]]
+    assert 80 < len(changed) < 160 and all(abs(a * a + b * b - 1) < 1e-9 and abs(b) < 0.06 for a, b in changed)
+    assert got == df.select(vectors.add_noise(F.col("v"), F.col("id")).alias("v")).collect()
+
+
+def test_anomalies(g, empty):
+    got = {r.issue: r.n for r in stats.anomalies(g).collect()}
+    assert got == {"type_combinations": 1, "domain_violations": 0, "singleton_properties": 2, "untyped_entities": 0}
+    assert {r.n for r in stats.anomalies(empty).collect()} == {0}
+
+
 def test_fusion(spark):
     hits = lambda rows: spark.createDataFrame(rows, "instance string, rank long")
     a, b = hits([("x", 1), ("y", 2), ("z", 3), (None, 4), ("x", 9)]), hits([("y", 1), ("x", 2), ("q", 3), (None, 1)])
