@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,23 @@ def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recal
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one))) if one < 1 else 1
 
 
+def _units(dim: int):
+    """The rows that have a direction in ``dim`` dimensions, at length 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sized = pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False)
+            ids, vectors = b.column(0).filter(sized), b.column(1).filter(sized)
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls are nan
+            norm = np.sqrt((x * x).sum(axis=1))
+            good = np.isfinite(norm) & (norm > 0)
+            unit = (x[good] / norm[good, None]).astype(np.float32)
+            ends = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], ["vec_id", "v"])
+
+    return run
+
+
 def _keys(dim: int, passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((dim, passes * KEY_BITS)).astype(np.float32)
@@ -142,10 +160,7 @@ def duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, window: int
     if not sizes:
         return ids.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(1).cast("long").alias("n_copies"))
     dim = sizes[0].dim
-    square = F.aggregate("e", F.lit(0.0), lambda acc, y: acc + y.cast("double") * y.cast("double"))
-    norm = F.sqrt(square)
-    sound = F.coalesce((F.size("e") == dim) & ~F.exists("e", lambda y: y.isNull() | F.isnan(y)) & (norm > 0) & (norm < F.lit(float("inf"))), F.lit(False))
-    unit = rows.filter(sound).select("vec_id", F.transform("e", lambda y: (y / norm).cast("float")).alias("v"))
+    unit = rows.mapInArrow(_units(dim), "vec_id long, v array<float>")
     member = unit.withColumn("same", F.min("vec_id").over(_by_vector()))
     member = cut(member)
     vectors = member.filter("vec_id = same").select(F.col("same").alias("node"), "v").dropDuplicates(["node", "v"])
