@@ -45,7 +45,11 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """
     side = lambda df, k: df.select(F.col("conv_id").cast("long").alias("conv_id"), F.lit(k).alias("side"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
     both = side(chosen, "c").unionByName(side(rejected, "r")).filter("conv_id is not null")
-    turns = both.groupBy("conv_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("t")))).alias(k) for k in "cr"))
+    return format_pairs(both.groupBy("conv_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("t")))).alias(k) for k in "cr")))
+
+
+def format_pairs(turns: DataFrame) -> DataFrame:
+    """``preference_pairs`` of rows of ``conv_id`` and the ordered turns ``c`` and ``r`` of both sides; nothing is shuffled."""
     most = F.least(F.size("c"), F.size("r"))
     differs = lambda i: ~(F.get("c", i)["role"].eqNullSafe(F.get("r", i)["role"]) & F.get("c", i)["text"].eqNullSafe(F.get("r", i)["text"]))
     first = F.get(F.filter(F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>")), differs), F.lit(0))
@@ -59,20 +63,21 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def sides(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected conversations from a table that has no preferences.
+def made_pairs(conversations: DataFrame) -> DataFrame:
+    """(conv_id, c, r): the turns of both sides, made from a table that has no preferences.
 
     Chosen is each conversation that ends with the assistant. Rejected is the same with its last answer
     replaced by the last answer of the conversation of the next ``conv_id``, if that has one, and left out
-    otherwise; so the sides part at the answer.
+    otherwise; so the sides part at the answer. Turns are shuffled once, and only the last answers again.
     """
-    last = conversations.groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("m")).select("conv_id", "m.*").filter(F.col("role") == TRAINED)
-    last = last.select(F.col("conv_id"), F.col("turn").alias("last_turn"), F.col("text").alias("last_text"))
-    chosen = conversations.join(last.select("conv_id", "last_turn"), "conv_id")
-    kept = chosen.filter(F.col("turn") < F.col("last_turn")).select("conv_id", "turn", "role", "text")
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last_text").alias("text"))
-    worse = last.select("conv_id", F.col("last_turn").alias("turn")).join(other, "conv_id").select("conv_id", "turn", F.lit(TRAINED).alias("role"), "text")
-    return chosen.select("conv_id", "turn", "role", "text"), kept.unionByName(worse)
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    whole = conversations.filter("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("c"))
+    last = F.element_at("c", -1)
+    answered = whole.filter(last["role"] == TRAINED)
+    other = answered.select((F.col("conv_id") - 1).alias("conv_id"), F.struct(last["text"].alias("text")).alias("other"))
+    before = F.filter("c", lambda t: t["turn"] < last["turn"])
+    worse = F.struct(last["turn"].alias("turn"), F.lit(TRAINED).alias("role"), F.col("other.text").alias("text"))
+    return answered.join(other, "conv_id", "left").select("conv_id", "c", F.when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array(worse))).alias("r"))
 
 
 def sql() -> str:

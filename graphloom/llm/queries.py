@@ -37,7 +37,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_pairs(*chat.sides(table(spark, sf_dir, "conversations")))
+    return chat.format_pairs(chat.made_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
