@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Encoded segments that a worker keeps; when it has so many it begins anew.
-KEPT_SEGMENTS = 300_000
+KEPT_SEGMENTS = 100_000
 
 
 @dataclass
