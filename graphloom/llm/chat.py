@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: The role whose turns are trained on.
 TRAINED = "assistant"
@@ -80,6 +82,40 @@ def made_pairs(conversations: DataFrame) -> DataFrame:
     return answered.join(other, "conv_id", "left").select("conv_id", "c", F.when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array(worse))).alias("r"))
 
 
+def all_pairs(conversations: DataFrame) -> DataFrame:
+    """(conv_id, c, r), as ``made_pairs`` gives it, of every conversation that has an assistant turn.
+
+    The sides part at the last assistant turn; what follows it stays on both sides, where no mask lets it
+    through. Rejected has in its place the last answer of the next answered conversation by ``conv_id``, after
+    the last of which comes the first. A sole answered conversation has no other answer; its is left out.
+    """
+    text = F.col("text").cast("string").alias("text")
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text)
+    rows = conversations.filter("conv_id is not null").withColumn("conv_id", F.col("conv_id").cast("long"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("c"))
+    answers = rows.filter(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max(F.struct(F.col("turn").cast("long").alias("turn"), text)).alias("other"))
+    following = _next(answers.select("conv_id"))
+    other = following.join(answers.withColumnRenamed("conv_id", "next"), "next").select("conv_id", F.when(F.col("next") != F.col("conv_id"), F.col("other")).alias("other"))
+    at = F.size("c") - F.array_position(F.reverse(F.transform("c", lambda t: F.coalesce(t["role"] == TRAINED, F.lit(False)))), True).cast("int")
+    parts = whole.join(other, "conv_id").withColumn("at", at)
+    before, after = F.slice("c", 1, F.col("at")), F.slice("c", F.col("at") + 2, F.size("c"))
+    worse = F.struct(F.get("c", F.col("at"))["turn"].alias("turn"), F.lit(TRAINED).alias("role"), F.col("other.text").alias("text"))
+    return parts.select("conv_id", "c", F.when(F.col("other").isNull(), F.concat(before, after)).otherwise(F.concat(before, F.array(worse), after)).alias("r"))
+
+
+def _next(ids: DataFrame) -> DataFrame:
+    """(conv_id, next): the following one of the distinct ``ids``, and the least one after the greatest.
+
+    Ids are ordered by ranges; only the first of each range is collected.
+    """
+    ranges = cut(ids.repartitionByRange("conv_id").select("conv_id", F.spark_partition_id().alias("part")))
+    first = ranges.groupBy("part").agg(F.min("conv_id").alias("first")).orderBy("part").collect()
+    after = [(r.part, first[(i + 1) % len(first)].first) for i, r in enumerate(first)]
+    after = ids.sparkSession.createDataFrame(after, "part int, first long")
+    inside = F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id"))
+    return ranges.withColumn("inside", inside).join(F.broadcast(after), "part").select("conv_id", F.coalesce("inside", "first").alias("next"))
+
+
 def sql() -> str:
     def render(t: str) -> str:
         return f"('{OPEN}' || {t}.role || chr(10) || {t}.text || '<|im_end|>' || chr(10))"

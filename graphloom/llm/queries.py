@@ -40,6 +40,10 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_pairs(chat.made_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op8_preference_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.all_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_sentencepiece, op3_mix_sources, op4_simhash_dedup, op5_quality,
-        op6_language_id, op7_token_shards, op8_preference_pairs, op9_order_minhash, op10_url_filter,
+        op6_language_id, op7_token_shards, op8_preference_pairs, op8_preference_pairs_all, op9_order_minhash, op10_url_filter,
     )
 }
 

@@ -215,6 +215,33 @@ def test_chat_edges(spark):
     assert chat.preference_pairs(c.filter("false"), c.filter("false")).collect() == []
 
 
+def test_all_answered_conversations_make_pairs(spark):
+    talks = {
+        1: [("user", "a"), ("assistant", "b")], 2: [("user", "c")], 4: [("assistant", "d"), ("user", "e"), (None, "x")],
+        7: [("user", "f"), ("assistant", "g"), ("user", "h"), ("assistant", None), ("user", "i")], 9: [("system", "s"), ("assistant", "j")], 12: [("user", "k")],
+    }
+    frame = lambda some: spark.createDataFrame([(i, j, *t) for i in some for j, t in enumerate(talks[i])] + [(None, 0, "assistant", "z")], "conv_id long, turn long, role string, text string")
+    rows = {r.conv_id: tuple(r)[1:] for r in chat.format_pairs(chat.all_pairs(frame(talks))).collect()}
+    answered = [1, 4, 7, 9]
+    assert sorted(rows) == answered
+    last = {i: max(j for j, t in enumerate(talks[i]) if t[0] == "assistant") for i in answered}
+    for i, k in zip(answered, answered[1:] + answered[:1]):
+        c = [(j, *t) for j, t in enumerate(talks[i])]
+        r = c[: last[i]] + [(last[i], "assistant", talks[k][last[k]][1])] + c[last[i] + 1 :]
+        assert rows[i] == brute_pair(c, r)
+    sole = chat.format_pairs(chat.all_pairs(frame([2, 9]))).collect()
+    assert [(r.conv_id, r.chosen_mask != "", r.rejected) for r in sole] == [(9, True, "")]
+    assert chat.all_pairs(frame([2])).collect() == []
+
+
+def test_all_pairs_of_the_table(spark):
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    want = talks.filter("role = 'assistant'").select("conv_id").distinct().count()
+    rows = chat.format_pairs(chat.all_pairs(talks)).collect()
+    assert len(rows) == want > chat.made_pairs(talks).count()
+    assert all(r.chosen_mask and r.rejected_mask or r.chosen == r.rejected == "" for r in rows)
+
+
 # -- embeddings
 
 
