@@ -22,21 +22,44 @@ WINDOW = 64
 RECALL = 0.97
 #: Random one-bit hashes in a pass's key.
 KEY_BITS = 62
+#: Vectors in dense regions that are compared with each other outright; of more, dense regions get more passes first.
+COMPARED = 1 << 17
+#: Vectors in a block of that comparison.
+BLOCK = 4096
 SEED = 5
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has been in a common window with probability ``recall``.
+    """Passes after which a pair at the threshold has been in a common window with probability ``recall``, if cells are even.
 
     A pair is in a common window if it agrees in the first hashes that split ``n`` vectors into runs shorter
     than a window; each agrees with probability 1 - angle / pi.
     """
-    agree = 1 - math.acos(min(1.0, threshold)) / math.pi
+    agree = _agree(threshold)
     depth = max(0.0, math.log2(max(n, 2) / (window / 2)))
     one = agree**depth
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one))) if one < 1 else 1
 
 
+def _agree(threshold: float) -> float:
+    """Probability that a pair at the threshold agrees in a hash."""
+    return 1 - math.acos(min(1.0, threshold)) / math.pi
+
+
+def depths(p: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """First hashes of each sorted row that bring its run, the rows of its pass that agree in them, to a window at most.
+
+    It is over ``KEY_BITS`` for a run that all hashes leave longer, and in too few rows to tell.
+    """
+    n = len(key)
+    if n <= window:
+        return np.full(n, KEY_BITS + 1, np.int32)
+    common = KEY_BITS - np.frexp((key[:-window] ^ key[window:]).astype(np.float64))[1]
+    common = np.where(p[:-window] == p[window:], common, -1)  # of the window that starts at each row
+    around = np.concatenate([np.full(window, -1), common, np.full(window, -1)])
+    return (np.lib.stride_tricks.sliding_window_view(around, window + 1).max(axis=1) + 1).astype(np.int32)
+
+
 def _units(dim: int):
     """The rows that have a direction in ``dim`` dimensions, at length 1."""
 
@@ -72,7 +95,10 @@ def _keys(dim: int, passes: int, seed: int):
 
 
 def _compare(dim: int, window: int, threshold: float):
-    """Verified pairs of each sorted partition, and its first and last ``window`` rows as its edges."""
+    """Verified pairs of each sorted partition, its first and last ``window`` rows as its edges, and the rows' depths.
+
+    Edges have a side of 0 or 1; depths have a side of 2, and the depth as their gap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -89,12 +115,22 @@ def _compare(dim: int, window: int, threshold: float):
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.arange(n)), pa.array(np.full(n, gap, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(p), vectors], schema=kinds)
 
-        tail = None
+        def deep(node: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+            n = len(node)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(depth), pa.array(np.full(n, 2, np.int32)), *(pa.nulls(n, t) for t in kinds.types[4:])], schema=kinds)
+
+        tail, near, told = None, None, 0
         for b in batches:
             for a in range(0, len(b), 4096):
                 part = b.slice(a, 4096)
                 p, node = np.asarray(part.column(0)), np.asarray(part.column(1))
-                x = np.asarray(part.column(2).flatten(), dtype=np.float32).reshape(-1, dim)
+                x = np.asarray(part.column(3).flatten(), dtype=np.float32).reshape(-1, dim)
+                own = p, node, np.asarray(part.column(2))
+                near = own if near is None else tuple(np.concatenate(y) for y in zip(near, own))
+                if (ready := len(near[0]) - window) > told:  # the rows after them are there
+                    yield deep(near[1][told:ready], depths(near[0], near[2], window)[told:ready])
+                    first = max(0, ready - window)
+                    near, told = tuple(y[first:] for y in near), ready - first
                 if tail is None:
                     yield edge(task, 1, p[:window], node[:window], x[:window])
                     old = 0
@@ -105,6 +141,7 @@ def _compare(dim: int, window: int, threshold: float):
                     yield pairs(u, w)
                 tail = p[-window:], node[-window:], x[-window:]
         if tail is not None:
+            yield deep(near[1][told:], depths(near[0], near[2], window)[told:])
             yield edge(task + 1, 0, *tail)
 
     return run
@@ -120,11 +157,10 @@ def neighbours(p: np.ndarray, node: np.ndarray, x: np.ndarray, old: int, window:
             yield np.minimum(node[a], node[b])[good], np.maximum(node[a], node[b])[good]
 
 
-def near_pairs(vectors: DataFrame, dim: int, n: int, threshold: float, window: int, recall: float, seed: int) -> DataFrame:
-    """(u, v) with u < v of the verified pairs of all passes; ``vectors`` has ``node`` and unit vectors ``v``."""
-    passes = passes_for(n, threshold, window, recall)
+def _passes(vectors: DataFrame, dim: int, passes: int, threshold: float, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of the verified pairs of some passes; and (node, miss): the log of the chance that they all miss a pair of the node."""
     keyed = vectors.mapInArrow(_keys(dim, passes, seed), "pass int, key long, node long, v array<float>")
-    ordered = keyed.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node").select("pass", "node", "v")
+    ordered = keyed.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node").select("pass", "node", "key", "v")
     found = cut(ordered.mapInArrow(_compare(dim, window, threshold), "u long, w long, gap int, side int, pass int, v array<float>"))
 
     def across(key, rows):
@@ -139,16 +175,77 @@ def near_pairs(vectors: DataFrame, dim: int, n: int, threshold: float, window: i
         return pd.DataFrame({"u": np.concatenate([g[0] for g in got]) if got else [], "v": np.concatenate([g[1] for g in got]) if got else []}, dtype="int64")
 
     inside = found.filter("gap is null").select("u", F.col("w").alias("v"))
-    over = found.filter("gap is not null").groupBy("gap").applyInPandas(across, "u long, v long")
-    return inside.unionByName(over).distinct()
+    over = found.filter("side < 2").groupBy("gap").applyInPandas(across, "u long, v long")
+    one = F.least(F.when(F.col("gap") > KEY_BITS, 0.0).otherwise(F.pow(F.lit(_agree(threshold)), F.col("gap").cast("double"))), F.lit(1 - 1e-12))
+    miss = found.filter("side = 2").groupBy(F.col("u").alias("node")).agg(F.sum(F.log1p(-one)).alias("miss"))
+    return inside.unionByName(over).distinct(), miss
+
+
+def near_pairs(vectors: DataFrame, dim: int, n: int, threshold: float, window: int, recall: float, seed: int, compared: int = COMPARED) -> DataFrame:
+    """(u, v) with u < v of verified pairs; ``vectors`` has ``node`` and unit vectors ``v``.
+
+    The first passes are as many as even cells need. Each measures how crowded every vector is; those whose
+    pairs the passes so far find with less than ``recall`` go on among themselves, as of a pair with another
+    vector that one has recall enough. They get twice as many passes while there are more than ``compared``
+    of them and each round settles a tenth at least; the rest are compared outright, and of these only so
+    many pairs are given as join what all of them would.
+    """
+    passes = passes_for(n, threshold, window, recall)
+    pairs, miss = _passes(vectors, dim, passes, threshold, window, seed)
+    crowded = lambda v, m: cut(v.join(m.filter(F.col("miss") > math.log(1 - recall)), "node").select("node", "v", "miss"))
+    left = crowded(vectors, miss)
+    size, before = left.count(), math.inf
+    while compared < size <= 0.9 * before:
+        passes, seed, before = 2 * passes, seed + 1, size
+        more, miss = _passes(left.select("node", "v"), dim, passes, threshold, window, seed)
+        pairs = pairs.unionByName(more)
+        miss = left.select("node", F.col("miss").alias("old")).join(miss, "node").select("node", (F.col("old") + F.col("miss")).alias("miss"))
+        left = crowded(left.select("node", "v"), miss)
+        size = left.count()
+    return pairs.unionByName(joining_pairs(left, size, threshold)).distinct() if size else pairs
+
+
+def joining_pairs(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(u, v) with u < v of pairs that join what all pairs at the threshold join, found by comparing all ``n`` vectors."""
+    blocks = -(-n // BLOCK)
+    sides = vectors.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    sides = sides.select("node", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def compare(key, rows):
+        import pandas as pd
+
+        x, node = np.stack(rows.v.to_numpy()).astype(np.float32), rows.node.to_numpy()
+        first, second = np.flatnonzero(rows.own == key[0]), np.flatnonzero(rows.own == key[1])
+        u, v = joining(x, first, second, threshold)
+        return pd.DataFrame({"u": np.minimum(node[u], node[v]), "v": np.maximum(node[u], node[v])}, dtype="int64")
+
+    groups = sides.repartition(min(512, blocks * (blocks + 1) // 2), "lo", "hi").groupBy("lo", "hi")
+    return groups.applyInPandas(compare, "u long, v long")
+
+
+def joining(x: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of ``first`` and one of ``second`` at the threshold, without those that others join already."""
+    group, u, v = np.arange(len(x)), [], []
+    y = x[second]
+    for a in range(0, len(first), 256):
+        for i, near in zip(first[a : a + 256], x[first[a : a + 256]] @ y.T >= threshold):
+            k = second[near]
+            k = k[group[k] != group[i]]
+            if len(k):
+                of, at = np.unique(group[k], return_index=True)
+                u.append(np.full(len(at), i))
+                v.append(k[at])
+                group[np.isin(group, of)] = group[i]
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """(vec_id, group_id, n_copies) of every vector: its group's least ``vec_id``, and the group's size.
 
     Groups are the connected components of pairs of cosine ``threshold`` or more that were neighbours in some
-    pass; equal vectors are brought together exactly, whatever their number, before the passes. The number of
-    passes follows from the number of vectors, so that recall holds at every size.
+    pass, or were compared outright; equal vectors are brought together exactly, whatever their number, before
+    the passes. Vectors that are too crowded for the passes to find their pairs with ``recall`` get more passes
+    or are compared with each other, see ``near_pairs``; so recall holds at every size and density.
 
     Vectors that are null, empty, of another length than most, all zero, or not finite are alone in their
     groups. Rows that share a ``vec_id`` are one item that is in all their groups' component. Rows of a null

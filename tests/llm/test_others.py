@@ -264,6 +264,59 @@ def test_embedding_recall(spark):
     assert len(lone) > 2000 and all(group[i] == i for i in lone)
 
 
+@pytest.mark.parametrize("compared", [embed_dedup.COMPARED, 500])
+def test_pairs_in_a_dense_region(spark, compared):
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    parts = []
+    for cosine in (0.9, 0.85):  # of any two in the region
+        center = unit(rng.standard_normal(64))
+        region = unit(cosine**0.5 * center + (1 - cosine) ** 0.5 * unit(rng.standard_normal((4000, 64))))
+        away = rng.standard_normal((300, 64))
+        away = unit(away - (away * region[:300]).sum(axis=1, keepdims=True) * region[:300])
+        parts += [region, 0.952 * region[:300] + (1 - 0.952**2) ** 0.5 * away]
+    x = np.concatenate([*parts, unit(rng.standard_normal((3000, 64)))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<float>")
+    got = {(r.u, r.v) for r in embed_dedup.near_pairs(df, 64, len(x), embed_dedup.THRESHOLD, embed_dedup.WINDOW, embed_dedup.RECALL, embed_dedup.SEED, compared).collect()}
+    assert all(x[a] @ x[b] >= embed_dedup.THRESHOLD - 1e-6 for a, b in got)
+    parent = list(range(len(x)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in got:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    for start in (0, 4300):
+        assert np.mean([find(start + i) == find(start + 4000 + i) for i in range(300)]) >= 0.95
+
+
+def test_depths_and_joining_pairs_match_brute_force():
+    rng = np.random.default_rng(22)
+    key = np.sort(np.concatenate([rng.integers(0, 2**62, 300), rng.integers(0, 2**40, 60), np.full(12, 5)]))
+    p, window = np.zeros(len(key), np.int32), 8
+    got = embed_dedup.depths(p, key, window)
+    run = lambda i, d: (key >> (62 - d) == key[i] >> (62 - d)).sum()
+    assert got.tolist() == [next((d for d in range(63) if run(i, d) <= window), 63) for i in range(len(key))]
+    x = rng.standard_normal((60, 3)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.arange(0, 30), np.arange(30, 60)
+    label = lambda pairs: _labels(60, pairs)
+    for first, second in ((a, b), (a, a)):
+        u, v = embed_dedup.joining(x, first, second, 0.9)
+        every = [(i, j) for i in first for j in second if i != j and x[i] @ x[j] >= 0.9]
+        assert set(zip(u, v)) <= set(every) and len(u) < len(every) and label(zip(u, v)) == label(every)
+
+
+def _labels(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        of = [of[a] if g == of[b] else g for g in of]
+    return [of.index(g) for g in of]
+
+
 def test_passes_grow_with_the_table():
     n = [embed_dedup.passes_for(k) for k in (2, 1000, 10**5, 10**8)]
     assert n == sorted(n) and n[0] == 1 and n[-1] < 100
