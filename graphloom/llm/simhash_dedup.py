@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with an index of one-wildcard segment variants."""
+"""SimHash near-duplicates by segments that differ in at most one bit."""
 
 from __future__ import annotations
 
@@ -14,8 +14,13 @@ from .shared import cut
 from .textbuf import WORDS_ONLY, blocks, fold_case, mix, tokens
 
 BITS = 256
-SEGMENT_BITS = 32
-SEGMENTS = BITS // SEGMENT_BITS
+SEGMENTS = 12
+#: The segments' first bits, and the end.
+CUTS = [BITS * i // SEGMENTS for i in range(SEGMENTS + 1)]
+#: Bits of a code for half a segment.
+HALF_BITS = 16
+#: Pairs that a worker compares at once.
+AT_ONCE = 1 << 20
 #: By the pigeonhole principle some segment of two signatures this far apart differs in at most one bit.
 CERTAIN = 2 * SEGMENTS - 1
 #: Signatures at most this far apart are near-duplicates.
@@ -61,22 +66,74 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), *(pa.array(words[has, i]) for i in range(BITS // 64))], ["doc_id", *WORDS])
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = np.arange(SEGMENT_BITS, dtype=np.uint64)
-    hole = ~(np.uint64(1) << place)
-    low = np.uint64((1 << SEGMENT_BITS) - 1)
+def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node once for each half of each segment, with a code of the half, its bits and those of the other half."""
+    low = np.uint64(HALF_BITS)
     for b in batches:
-        node = np.asarray(b.column(0))
-        for a in range(0, len(node), 1024):
-            own = node[a : a + 1024]
-            for s in range(SEGMENTS):
-                word = np.asarray(b.column(1 + s // 2))[a : a + 1024].view(np.uint64)
-                part = (word >> np.uint64(SEGMENT_BITS * (s % 2))) & low
-                key = ((np.uint64(s * SEGMENT_BITS) + place) << np.uint64(SEGMENT_BITS)) | (part[:, None] & hole & low)
-                bit = (part[:, None] >> place) & np.uint64(1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(own, SEGMENT_BITS)), pa.array(bit.ravel().astype(np.int8))], ["key", "node", "bit"]
-                )
+        words = [np.asarray(b.column(1 + i)).view(np.uint64) for i in range(BITS // 64)]
+        for s, (first, end) in enumerate(zip(CUTS, CUTS[1:])):
+            part = words[first // 64] >> np.uint64(first % 64)
+            if first // 64 != (end - 1) // 64:
+                part = part | (words[end // 64] << np.uint64(64 - first % 64))
+            middle = np.uint64((end - first) // 2)
+            upper = (part & np.uint64((1 << (end - first)) - 1)) >> middle
+            lower = part & ((np.uint64(1) << middle) - np.uint64(1))
+            for k, (own, other) in enumerate(((upper, lower), (lower, upper))):
+                code = (np.uint64(2 * s + k) << (low + low)) | (own << low) | other
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *b.columns], ["code", "node", *WORDS])
+
+
+def _compare(max_distance: int):
+    """Verified pairs of the nodes with one half in common and at most one bit between the others; rows are sorted by code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            own = tuple(np.asarray(c) for c in b.columns)
+            if kept is not None:
+                own = tuple(np.concatenate(x) for x in zip(kept, own))
+            whole = np.searchsorted(own[0], own[0][-1] >> HALF_BITS << HALF_BITS) if len(own[0]) else 0  # the last half may go on
+            yield from found(tuple(x[:whole] for x in own))
+            kept = tuple(x[whole:] for x in own)
+        if kept is not None:
+            yield from found(kept)
+
+    def found(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        code, node = rows[0], rows[1]
+        words = np.stack(rows[2:], axis=1).view(np.uint64)
+        for i, j in together(code):
+            near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= max_distance
+            u, v = node[i[near]], node[j[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return run
+
+
+def together(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs whose sorted codes differ in at most one bit of the other half; equal ones once a segment."""
+    n = np.arange(len(code))
+    rows, start, count = [], [], []
+    for bit in range(-1, HALF_BITS):
+        if bit < 0:
+            of = n[(code >> (2 * HALF_BITS)) % 2 == 0]
+            first, last = of + 1, np.searchsorted(code, code[of], "right")
+        else:
+            of = n[(code >> bit) % 2 == 0]
+            other = code[of] | (1 << bit)
+            first, last = np.searchsorted(code, other), np.searchsorted(code, other, "right")
+        some = last > first
+        rows.append(of[some])
+        start.append(first[some])
+        count.append((last - first)[some])
+    rows, start, count = (np.concatenate(x) for x in (rows, start, count))
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(rows):
+        done = ends[a] - count[a]
+        b = max(a + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        i = np.repeat(rows[a:b], count[a:b])
+        yield i, np.arange(len(i)) + np.repeat(start[a:b] - (ends[a:b] - count[a:b] - done), count[a:b])
+        a = b
 
 
 WORDS = [f"s{i}" for i in range(BITS // 64)]
@@ -88,15 +145,9 @@ def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     ``nodes`` has ``node`` and the words of its signature, which differ from node to node. All pairs up to
     ``CERTAIN`` apart are found; those beyond are found when some segment differs in at most one bit.
     """
-    keys = nodes.mapInArrow(_variants, "key long, node long, bit byte")
-    a, b = keys.select("key", F.col("node").alias("u"), F.col("bit").alias("p")), keys.select("key", F.col("node").alias("v"), F.col("bit").alias("q"))
-    # Segments that differ in one bit share only the variant with that bit left out; equal ones share all, of which one is taken.
-    once = (F.col("p") != F.col("q")) | (F.shiftright("key", SEGMENT_BITS) % SEGMENT_BITS == 0)
-    pairs = a.hint("shuffle_hash").join(b, "key").filter((F.col("u") < F.col("v")) & once).select("u", "v").distinct()
-    left = nodes.select(F.col("node").alias("u"), *(F.col(w).alias(f"a_{w}") for w in WORDS))
-    right = nodes.select(F.col("node").alias("v"), *(F.col(w).alias(f"b_{w}") for w in WORDS))
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").filter(apart <= max_distance).select("u", "v")
+    # If two segments differ in one bit at most, one half of them is equal, so that nodes meet by halves and are compared there.
+    routed = nodes.select("node", *WORDS).mapInArrow(_routes, "code long, node long, " + ", ".join(f"{w} long" for w in WORDS))
+    return routed.repartition(F.shiftright("code", HALF_BITS)).sortWithinPartitions("code").mapInArrow(_compare(max_distance), "u long, v long").distinct()
 
 
 def duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

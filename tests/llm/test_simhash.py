@@ -53,6 +53,31 @@ def test_pairs_match_brute_force(spark):
     assert sum(p in got for p in near) / len(near) >= 0.9
 
 
+def test_recall_up_to_the_limit(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, (300, S.BITS), dtype=np.uint8)
+    far = np.repeat(np.arange(24, S.MAX_DISTANCE + 1), 34)[:300]
+    copies = base.copy()
+    for r, flips in zip(copies, far):
+        r[rng.choice(S.BITS, flips, replace=False)] ^= 1
+    words = np.packbits(np.concatenate([base, copies]), axis=1).view(np.int64)
+    df = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "node long, " + ", ".join(f"{w} long" for w in S.WORDS))
+    got = [tuple(r) for r in S.near_pairs(df).collect()]
+    assert len(got) == len(set(got))
+    for d in (24, 28, S.MAX_DISTANCE):
+        want = [(i, 300 + i) for i in np.flatnonzero(far >= d)]
+        assert sum(p in got for p in want) / len(want) >= 0.95
+
+
+def test_codes_that_meet_match_brute_force(monkeypatch):
+    monkeypatch.setattr(S, "AT_ONCE", 7)
+    rng = np.random.default_rng(6)
+    code = np.sort((rng.integers(0, 4, 200) << (2 * S.HALF_BITS)) | (rng.integers(0, 3, 200) << S.HALF_BITS) | rng.integers(0, 32, 200))
+    got = [(int(a), int(b)) for i, j in S.together(code) for a, b in zip(i, j)]
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if (x := int(code[a] ^ code[b])) < 32 and x.bit_count() <= 1 and (x or (code[a] >> 32) % 2 == 0)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     for n, m in ((1, 0), (30, 12), (200, 150), (60, 59)):
