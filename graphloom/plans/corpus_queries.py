@@ -261,8 +261,8 @@ def knn_ivf(spark, sf_dir):
 @query()
 def knn_pq(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    books = vectors.train_codebooks(v, 8, 32, 2)
-    return vectors.knn_pq(vectors.pq_encode(v, books), v.filter("id % 50 = 0 and id < 500"), books, 10)
+    books = vectors.train_codebooks(v, 32, 128, 1)
+    return vectors.rerank(vectors.knn_pq(vectors.pq_encode(v, books), v, books, 50), v, v, 10)
 
 
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")

@@ -184,6 +184,24 @@ def test_vectors(spark):
     assert sorted(r.v for r in zero) == [[0.0, 0.0], [0.6, 0.8]]
 
 
+def _recall_of_all_rows(spark, name):
+    from graphloom.plans import corpus_queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in corpus_queries.QUERIES[name](spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert set(got) == set(ids.tolist()) and all(len(h) == 10 for h in got.values())
+    near = ids[np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :10]]
+    return np.mean([len(got[i] & set(n)) / 10 for i, n in zip(ids.tolist(), near.tolist())])
+
+
+def test_quantised_search_of_all_rows(spark):
+    assert _recall_of_all_rows(spark, "knn_pq") >= 0.9
+
+
 def test_noise(spark):
     df = spark.range(400).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
     got = df.select(vectors.add_noise(F.col("v"), F.col("id")).alias("v")).collect()
