@@ -233,6 +233,16 @@ def recall_mrr(spark, sf_dir):
     return vectors.retrieval_metrics(_hits(spark, sf_dir, "id < 100", 21), _vectors(spark, sf_dir))
 
 
+@query()
+def knn_batch_all(spark, sf_dir):
+    return _hits(spark, sf_dir, "true", 10).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def recall_mrr_all(spark, sf_dir):
+    return vectors.retrieval_metrics(_hits(spark, sf_dir, "true", 21), _vectors(spark, sf_dir))
+
+
 _SEEDS = "SELECT embedding::DOUBLE[] AS c, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS list_id FROM (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 16)"
 
 
@@ -242,10 +252,10 @@ def ivf_assign(spark, sf_dir):
     return vectors.assign(v, vectors.seeds(v, 16)).select("id", "list_id")
 
 
-def _ivf(spark, sf_dir, nprobe_share=1.0):
+def _ivf(spark, sf_dir, nprobe_share=1.0, where="id % 50 = 0 and id < 500"):
     v = _vectors(spark, sf_dir)
     c = vectors.train_lists(v, vectors.n_lists(v.count()), 3)
-    return vectors.knn_ivf(vectors.assign(v, c), v.filter("id % 50 = 0 and id < 500"), c, 10, max(1, int(len(c) * nprobe_share)))
+    return vectors.knn_ivf(vectors.assign(v, c), v.filter(where), c, 10, max(1, int(len(c) * nprobe_share)))
 
 
 @query(f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_hits_sql('q.vec_id % 50 = 0 AND q.vec_id < 500', 10)})")
@@ -255,7 +265,7 @@ def knn_ivf_all_lists(spark, sf_dir):
 
 @query()
 def knn_ivf(spark, sf_dir):
-    return _ivf(spark, sf_dir, 0.5)
+    return _ivf(spark, sf_dir, 0.7, "true")
 
 
 @query()

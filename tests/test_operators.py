@@ -202,6 +202,15 @@ def test_quantised_search_of_all_rows(spark):
     assert _recall_of_all_rows(spark, "knn_pq") >= 0.9
 
 
+def test_searches_of_all_rows(spark):
+    from graphloom.plans import corpus_queries
+
+    assert _recall_of_all_rows(spark, "knn_ivf") >= 0.9
+    assert _recall_of_all_rows(spark, "knn_batch_all") == 1
+    folder = "/root/testdata/sf0.01"
+    assert corpus_queries.QUERIES["recall_mrr_all"](spark, folder).first().queries == spark.read.parquet(f"{folder}/embeddings.parquet").count()
+
+
 def test_noise(spark):
     df = spark.range(400).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
     got = df.select(vectors.add_noise(F.col("v"), F.col("id")).alias("v")).collect()
