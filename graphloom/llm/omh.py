@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import WORDS_ONLY, blocks, fold_case, mix, tokens
+from .textbuf import WORDS_ONLY, blocks, lowered, mix, tokens
 
 K = 3
 TUPLE = 2
@@ -73,8 +73,8 @@ def _fingerprint(k: int, size: int, sketches: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            for first, raw, offsets in blocks(texts):
-                values, starts = kmers(*tokens(fold_case(raw), offsets, WORDS_ONLY), k)
+            for first, raw, offsets in blocks(lowered(texts)):
+                values, starts = kmers(*tokens(raw, offsets, WORDS_ONLY), k)
                 occ = occurrences(values, starts)
                 rows = [None if s == e else sketch(values[s:e], occ[s:e], seeds, size).view(np.int64) for s, e in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -87,12 +87,14 @@ def _fingerprint(k: int, size: int, sketches: int, seed: int):
 def fingerprints(docs: DataFrame, k: int = K, size: int = TUPLE, sketches: int = SKETCHES, seed: int = SEED) -> DataFrame:
     """(doc_id, n_kmers, signature) for each row of ``docs``, in one narrow pass.
 
-    The k-mers are runs of ``k`` case-folded words, each numbered by its occurrence so that repeats count.
+    The k-mers are runs of ``k`` words in lower case, or of ``k`` characters in scripts that put no spaces
+    between words, each numbered by its occurrence so that repeats count.
     For each of ``sketches`` orders the ``size`` first are put back in text order and hashed as a tuple, so
     the share of equal entries of two signatures falls with edits and with moved passages.
 
-    A text of 1 to k-1 words is one k-mer; one of fewer than ``size`` k-mers uses all it has. Null, empty
+    Whole texts are read, however long. A text of 1 to k-1 words is one k-mer; one of fewer than ``size`` k-mers uses all it has. Null, empty
     and wordless texts have 0 k-mers and a null signature. Repeated rows and null ``doc_id`` give their own
-    rows. Other columns aren't read.
+    rows, and equal texts equal ones; ties of an order's hashes don't arise but for equal elements. Other
+    columns aren't read. No rows give no rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint(k, size, sketches, seed), "doc_id long, n_kmers long, signature array<long>")
