@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +54,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     root = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions of edges (u, v) without a cycle that join what all of them join."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root, kept = np.arange(len(nodes)), [np.empty(0, np.int64)]
+    while len(open_ := np.flatnonzero(root[a] != root[b])):
+        first = np.full(len(nodes), len(u))  # of the edges that leave each tree
+        np.minimum.at(first, root[a[open_]], open_)
+        np.minimum.at(first, root[b[open_]], open_)
+        new = np.unique(first[first < len(u)])
+        kept.append(new)
+        while (unlike := root[a[new]] != root[b[new]]).any():
+            low, high = np.minimum(root[a[new]], root[b[new]])[unlike], np.maximum(root[a[new]], root[b[new]])[unlike]
+            to = np.arange(len(nodes))
+            np.minimum.at(to, high, low)
+            root = to[root]
+    return np.concatenate(kept)

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import cut
+from .components import components, forest
+from .shared import join_checked, rewritten
 
 #: Vectors of at least this cosine are near-duplicates.
 THRESHOLD = 0.95
@@ -20,8 +20,8 @@ THRESHOLD = 0.95
 WINDOW = 64
 #: Share of the pairs at the threshold that the passes are to find together.
 RECALL = 0.97
-#: Random one-bit hashes in a pass's key.
-KEY_BITS = 62
+#: Random one-bit hashes in a pass's key; the number of the pass stands above them.
+KEY_BITS = 52
 #: Vectors in dense regions that are compared with each other outright; of more, dense regions get more passes first.
 COMPARED = 1 << 17
 #: Vectors in a block of that comparison.
@@ -46,16 +46,15 @@ def _agree(threshold: float) -> float:
     return 1 - math.acos(min(1.0, threshold)) / math.pi
 
 
-def depths(p: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+def depths(key: np.ndarray, window: int) -> np.ndarray:
     """First hashes of each sorted row that bring its run, the rows of its pass that agree in them, to a window at most.
 
-    It is over ``KEY_BITS`` for a run that all hashes leave longer, and in too few rows to tell.
+    It is over ``KEY_BITS`` for a run that all hashes leave longer, and 0 in a pass of so few rows.
     """
     n = len(key)
     if n <= window:
-        return np.full(n, KEY_BITS + 1, np.int32)
-    common = KEY_BITS - np.frexp((key[:-window] ^ key[window:]).astype(np.float64))[1]
-    common = np.where(p[:-window] == p[window:], common, -1)  # of the window that starts at each row
+        return np.zeros(n, np.int32)
+    common = np.maximum(-1, KEY_BITS - np.frexp((key[:-window] ^ key[window:]).astype(np.float64))[1])  # of the window that starts at each row
     around = np.concatenate([np.full(window, -1), common, np.full(window, -1)])
     return (np.lib.stride_tricks.sliding_window_view(around, window + 1).max(axis=1) + 1).astype(np.int32)
 
@@ -77,132 +76,223 @@ def _units(dim: int):
     return run
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """(n, 8 + dim) bytes: each unit vector's scale, the length of its rounding error, and its values in a byte each."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-12).astype(np.float32) / np.float32(127)
+    values = np.rint(x / scale[:, None]).astype(np.int8)
+    error = np.sqrt(((x.astype(np.float64) - values * scale[:, None].astype(np.float64)) ** 2).sum(axis=1)).astype(np.float32)
+    return np.concatenate([scale[:, None].view(np.uint8), error[:, None].view(np.uint8), values.view(np.uint8)], axis=1)
+
+
+def decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of ``coded`` and the lengths of their errors."""
+    scale, error = (np.ascontiguousarray(codes[:, a : a + 4]).view(np.float32) for a in (0, 4))
+    return codes[:, 8:].view(np.int8).astype(np.float32) * scale, error[:, 0]
+
+
+def _binary(codes: np.ndarray) -> pa.Array:
+    ends = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def _bytes(arr: pa.Array, width: int) -> np.ndarray:
+    arr = arr.cast(pa.binary())
+    ends = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1]
+    return np.frombuffer(arr.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(arr), width)
+
+
 def _keys(dim: int, passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((dim, passes * KEY_BITS)).astype(np.float32)
-        weight = (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
+        weight = 2.0 ** np.arange(KEY_BITS - 1, -1, -1)
         for b in batches:
             for a in range(0, len(b), 1024):
                 part = b.slice(a, 1024)
-                flat = part.column(1).flatten()
-                x = np.asarray(flat, dtype=np.float32).reshape(-1, dim)
+                x = np.asarray(part.column(1).flatten(), dtype=np.float32).reshape(-1, dim)
                 bits = (x @ planes >= 0).reshape(len(x), passes, KEY_BITS)
+                codes = _binary(coded(x))
                 for p in range(passes):
-                    key = bits[:, p].astype(np.int64) @ weight
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(key), part.column(0), part.column(1)], ["pass", "key", "node", "v"])
+                    key = (bits[:, p] @ weight).astype(np.int64) | np.int64(p) << np.int64(KEY_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), codes], ["key", "node", "code"])
 
     return run
 
 
-def _compare(dim: int, window: int, threshold: float):
-    """Verified pairs of each sorted partition, its first and last ``window`` rows as its edges, and the rows' depths.
+#: Kinds of the rows that ``_compare`` gives: pairs (u, w) that are near, and that are too close to the threshold to
+#: tell by their codes; of node u in pass w the depth ``n``; of partition n the w-th first row and w-th last row, node u,
+#: and its number of rows, u.
+NEAR, OPEN, DEPTH, FIRST, LAST, SIZE = range(6)
+_FOUND = "kind int, u long, w long, n int, key long, code binary"
 
-    Edges have a side of 0 or 1; depths have a side of 2, and the depth as their gap.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _rows(kind: int, u: np.ndarray, w: np.ndarray | None = None, n=None, key=None, code=None) -> pa.RecordBatch:
+    k = len(u)
+    fill = lambda x, t: pa.nulls(k, t) if x is None else pa.array(np.broadcast_to(np.asarray(x, t.to_pandas_dtype()), (k,)))
+    columns = [fill(kind, pa.int32()), fill(u, pa.int64()), fill(w, pa.int64()), fill(n, pa.int32()), fill(key, pa.int64()), pa.nulls(k, pa.binary()) if code is None else _binary(code)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FOUND.split(", ")])
 
-        task = TaskContext.get().partitionId()
-        kinds = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("gap", pa.int32()), ("side", pa.int32()), ("pass", pa.int32()), ("v", pa.list_(pa.float32()))])
 
-        def pairs(u: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-            n = len(u)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), *(pa.nulls(n, t) for t in kinds.types[2:])], schema=kinds)
+def _compare(dim: int, window: int, threshold: float, link: bool):
+    """What each sorted partition tells by itself, and its first and last ``window`` rows; see ``NEAR``."""
 
-        def edge(gap: int, side: int, p: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            n = len(node)
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.arange(n)), pa.array(np.full(n, gap, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(p), vectors], schema=kinds)
-
-        def deep(node: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
-            n = len(node)
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(depth), pa.array(np.full(n, 2, np.int32)), *(pa.nulls(n, t) for t in kinds.types[4:])], schema=kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        tail, near, told = None, None, 0
+        task, size = TaskContext.get().partitionId(), 0
+        tail, told, first = None, 0, 0
         for b in batches:
             for a in range(0, len(b), 4096):
                 part = b.slice(a, 4096)
-                p, node = np.asarray(part.column(0)), np.asarray(part.column(1))
-                x = np.asarray(part.column(3).flatten(), dtype=np.float32).reshape(-1, dim)
-                own = p, node, np.asarray(part.column(2))
-                near = own if near is None else tuple(np.concatenate(y) for y in zip(near, own))
-                if (ready := len(near[0]) - window) > told:  # the rows after them are there
-                    yield deep(near[1][told:ready], depths(near[0], near[2], window)[told:ready])
-                    first = max(0, ready - window)
-                    near, told = tuple(y[first:] for y in near), ready - first
-                if tail is None:
-                    yield edge(task, 1, p[:window], node[:window], x[:window])
-                    old = 0
-                else:
-                    old = len(tail[0])
-                    p, node, x = (np.concatenate(y) for y in zip(tail, (p, node, x)))
-                for u, w in neighbours(p, node, x, old, window, threshold):
-                    yield pairs(u, w)
-                tail = p[-window:], node[-window:], x[-window:]
+                own = np.asarray(part.column(0)), np.asarray(part.column(1)), _bytes(part.column(2), dim + 8)
+                if first < window:  # the partition's first rows
+                    key, node, codes = (y[: window - first] for y in own)
+                    yield _rows(FIRST, node, np.arange(first, first + len(node)), task, key, codes)
+                    first += len(node)
+                size += len(own[0])
+                old = 0 if tail is None else len(tail[0])
+                if old:
+                    own = tuple(np.concatenate(y) for y in zip(tail, own))
+                key, node, codes = own
+                yield from near_rows(key, node, codes, old, window, threshold, link)
+                # rows whose windows are all there; of the others some rows are kept before them
+                ready = len(key) - window
+                if ready > told:
+                    yield _rows(DEPTH, node[told:ready], key[told:ready] >> KEY_BITS, depths(key, window)[told:ready])
+                    told = ready
+                before = max(0, told - window)
+                tail, told = tuple(y[before:] for y in own), told - before
         if tail is not None:
-            yield deep(near[1][told:], depths(near[0], near[2], window)[told:])
-            yield edge(task + 1, 0, *tail)
+            key, node, codes = tail
+            yield _rows(DEPTH, node[told:], key[told:] >> KEY_BITS, depths(key, window)[told:])
+            key, node, codes = (y[-window:] for y in tail)
+            yield _rows(LAST, node, np.arange(len(node))[::-1], task, key, codes)
+            yield _rows(SIZE, np.array([size]), None, task)
 
     return run
 
 
-def neighbours(p: np.ndarray, node: np.ndarray, x: np.ndarray, old: int, window: int, threshold: float):
-    """Pairs of rows at most ``window`` apart, the second from ``old`` on, that are of one pass and verified."""
+def near_rows(key: np.ndarray, node: np.ndarray, codes: np.ndarray, old: int, window: int, threshold: float, link: bool) -> Iterator[pa.RecordBatch]:
+    """``NEAR`` and ``OPEN`` rows of the pairs of sorted rows, the second from ``old`` on; with ``link``, a forest of the near ones."""
+    x, error = decoded(codes)
+    pairs: dict[int, list[np.ndarray]] = {NEAR: [], OPEN: []}
+    for u, v, sure in neighbours(key, node, x, error, old, window, threshold):
+        pairs[NEAR].append(np.stack([u[sure], v[sure]]))
+        pairs[OPEN].append(np.stack([u[~sure], v[~sure]]))
+    for kind, some in pairs.items():
+        u, v = np.concatenate(some, axis=1) if some else np.empty((2, 0), np.int64)
+        if link and kind == NEAR:
+            kept = forest(u, v)
+            u, v = u[kept], v[kept]
+        if len(u):
+            yield _rows(kind, u, v)
+
+
+def neighbours(key: np.ndarray, node: np.ndarray, x: np.ndarray, error: np.ndarray, old: int, window: int, threshold: float):
+    """(u, v, sure) of rows of a pass at most ``window`` apart, the second from ``old`` on, that may be near by their codes.
+
+    The product of two vectors differs from that of their codes by at most the errors' lengths and their product.
+    """
     for d in range(1, min(window, len(node) - 1) + 1):
         first = max(0, old - d)
         a, b = slice(first, len(node) - d), slice(first + d, len(node))
-        good = (p[a] == p[b]) & (node[a] != node[b]) & (np.einsum("ij,ij->i", x[a], x[b]) >= threshold)
-        if good.any():
-            yield np.minimum(node[a], node[b])[good], np.maximum(node[a], node[b])[good]
+        product = np.einsum("ij,ij->i", x[a], x[b])
+        off = error[a] + error[b] + error[a] * error[b] + np.float32(1e-5)
+        good = np.flatnonzero((product + off >= threshold) & (key[a] >> KEY_BITS == key[b] >> KEY_BITS) & (node[a] != node[b]))
+        if len(good):
+            u, v = node[a][good], node[b][good]
+            yield np.minimum(u, v), np.maximum(u, v), (product - off)[good] >= threshold
 
 
-def _passes(vectors: DataFrame, dim: int, passes: int, threshold: float, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of the verified pairs of some passes; and (node, miss): the log of the chance that they all miss a pair of the node."""
-    keyed = vectors.mapInArrow(_keys(dim, passes, seed), "pass int, key long, node long, v array<float>")
-    ordered = keyed.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node").select("pass", "node", "key", "v")
-    found = cut(ordered.mapInArrow(_compare(dim, window, threshold), "u long, w long, gap int, side int, pass int, v array<float>"))
+def borders(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """(n, to, take, after): of partition n the last ``take`` rows, with ``after`` rows between them and partition ``to``.
+
+    ``sizes`` has the partitions in use, in their order, with their rows. Each partition but the first gets
+    the ``window`` rows before it, from as many partitions as have them.
+    """
+    out = []
+    for k in range(1, len(sizes)):
+        after, j = 0, k - 1
+        while after < window and j >= 0:
+            take = min(sizes[j][1], window - after)
+            out.append((sizes[j][0], sizes[k][0], take, after))
+            after, j = after + take, j - 1
+    return out
+
+
+def _passes(vectors: DataFrame, dim: int, passes: int, threshold: float, window: int, seed: int, link: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(u, v) of the near pairs of some passes; of those that codes can't tell; and (node, miss): the log of the chance
+    that the passes all miss a pair of the node."""
+    keyed = vectors.mapInArrow(_keys(dim, passes, seed), "key long, node long, code binary")
+    ordered = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    found = rewritten(ordered.mapInArrow(_compare(dim, window, threshold, link), _FOUND))
+    sizes = sorted((r.n, r.u) for r in found.filter(F.col("kind") == SIZE).select("n", "u").collect())
 
     def across(key, rows):
         import pandas as pd
 
-        left, right = rows[rows.side == 0].sort_values("w"), rows[rows.side == 1].sort_values("w")
-        both = pd.concat([left, right])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        x = np.stack(both.v.to_numpy()).astype(np.float32)
-        got = list(neighbours(both["pass"].to_numpy(), both.u.to_numpy(), x, len(left), window, threshold))
-        return pd.DataFrame({"u": np.concatenate([g[0] for g in got]) if got else [], "v": np.concatenate([g[1] for g in got]) if got else []}, dtype="int64")
+        rows = rows.sort_values("pos")
+        k, node = rows.key.to_numpy(), rows.u.to_numpy()
+        codes = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), dim + 8)
+        out = [b.select(["kind", "u", "w", "n"]).to_pandas() for b in near_rows(k, node, codes, int((rows.pos < 0).sum()), window, threshold, link)]
+        return pd.concat([*out, pd.DataFrame({"kind": DEPTH, "u": node, "w": k >> KEY_BITS, "n": depths(k, window)})])
+
+    schema = "kind int, u long, w long, n int"
+    told = found.select("kind", "u", "w", "n")
+    if len(sizes) > 1:
+        plan = vectors.sparkSession.createDataFrame(borders(sizes, window), "n int, to int, take int, after int")
+        left = join_checked(found.filter(F.col("kind") == LAST), plan, "n", "inner").filter("w < take").select("to", (-1 - F.col("after") - F.col("w")).alias("pos"), "u", "key", "code")
+        right = found.filter((F.col("kind") == FIRST) & (F.col("n") > sizes[0][0])).select(F.col("n").alias("to"), F.col("w").alias("pos"), "u", "key", "code")
+        told = told.unionByName(left.unionByName(right).groupBy("to").applyInPandas(across, schema))
+    pairs = lambda kind: told.filter(F.col("kind") == kind).select("u", F.col("w").alias("v")).distinct()
+    one = F.least(F.when(F.col("n") > KEY_BITS, 0.0).otherwise(F.pow(F.lit(_agree(threshold)), F.col("n").cast("double"))), F.lit(1 - 1e-12))
+    depth = told.filter(F.col("kind") == DEPTH).select(F.col("u").alias("node"), "w", "n").repartition("node")
+    miss = depth.groupBy("node", "w").agg(F.max("n").alias("n")).groupBy("node").agg(F.sum(F.log1p(-one)).alias("miss"))
+    return pairs(NEAR), pairs(OPEN), miss
 
-    inside = found.filter("gap is null").select("u", F.col("w").alias("v"))
-    over = found.filter("side < 2").groupBy("gap").applyInPandas(across, "u long, v long")
-    one = F.least(F.when(F.col("gap") > KEY_BITS, 0.0).otherwise(F.pow(F.lit(_agree(threshold)), F.col("gap").cast("double"))), F.lit(1 - 1e-12))
-    miss = found.filter("side = 2").groupBy(F.col("u").alias("node")).agg(F.sum(F.log1p(-one)).alias("miss"))
-    return inside.unionByName(over).distinct(), miss
 
+def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose vectors are near."""
 
-def near_pairs(vectors: DataFrame, dim: int, n: int, threshold: float, window: int, recall: float, seed: int, compared: int = COMPARED) -> DataFrame:
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        a, b = (np.asarray(z.flatten(), dtype=np.float32).reshape(len(z), -1) for z in (x, y))
+        return pa.array(np.einsum("ij,ij->i", a, b) >= np.float32(threshold))
+
+    side = lambda n, v: vectors.select(F.col("node").alias(n), F.col("v").alias(v))
+    return pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").filter(near("x", "y")).select("u", "v")
+
+
+def near_pairs(vectors: DataFrame, dim: int, n: int, threshold: float, window: int, recall: float, seed: int, compared: int = COMPARED, link: bool = False) -> DataFrame:
     """(u, v) with u < v of verified pairs; ``vectors`` has ``node`` and unit vectors ``v``.
 
+    A pass sends each vector as a byte a dimension. Vectors are compared with their neighbours in the order of
+    all rows, whatever partitions these are in. Codes tell whether a pair is near but for those very close to
+    the threshold, whose vectors are fetched.
+
     The first passes are as many as even cells need. Each measures how crowded every vector is; those whose
     pairs the passes so far find with less than ``recall`` go on among themselves, as of a pair with another
     vector that one has recall enough. They get twice as many passes while there are more than ``compared``
     of them and each round settles a tenth at least; the rest are compared outright, and of these only so
-    many pairs are given as join what all of them would.
+    many pairs are given as join what all of them would. With ``link`` so are the pairs of passes.
     """
     passes = passes_for(n, threshold, window, recall)
-    pairs, miss = _passes(vectors, dim, passes, threshold, window, seed)
-    crowded = lambda v, m: cut(v.join(m.filter(F.col("miss") > math.log(1 - recall)), "node").select("node", "v", "miss"))
+    pairs, unsure, miss = _passes(vectors, dim, passes, threshold, window, seed, link)
+    crowded = lambda v, m: rewritten(v.join(m.filter(F.col("miss") > math.log(1 - recall)), "node").select("node", "v", "miss"))
     left = crowded(vectors, miss)
     size, before = left.count(), math.inf
     while compared < size <= 0.9 * before:
         passes, seed, before = 2 * passes, seed + 1, size
-        more, miss = _passes(left.select("node", "v"), dim, passes, threshold, window, seed)
-        pairs = pairs.unionByName(more)
+        more, doubtful, miss = _passes(left.select("node", "v"), dim, passes, threshold, window, seed, link)
+        pairs, unsure = pairs.unionByName(more), unsure.unionByName(doubtful)
         miss = left.select("node", F.col("miss").alias("old")).join(miss, "node").select("node", (F.col("old") + F.col("miss")).alias("miss"))
         left = crowded(left.select("node", "v"), miss)
         size = left.count()
-    return pairs.unionByName(joining_pairs(left, size, threshold)).distinct() if size else pairs
+    if size:  # pairs of two of these are compared below
+        mark = left.select("node").distinct()
+        unsure = join_checked(unsure, mark.select(F.col("node").alias("u"), F.lit(True).alias("a")), "u", "left")
+        unsure = join_checked(unsure, mark.select(F.col("node").alias("v"), F.lit(True).alias("b")), "v", "left").filter("a is null or b is null").select("u", "v")
+    pairs = pairs.unionByName(verified(unsure.distinct(), vectors, threshold))
+    return (pairs.unionByName(joining_pairs(left, size, threshold)) if size else pairs).distinct()
 
 
 def joining_pairs(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -245,7 +335,8 @@ def duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, window: int
     Groups are the connected components of pairs of cosine ``threshold`` or more that were neighbours in some
     pass, or were compared outright; equal vectors are brought together exactly, whatever their number, before
     the passes. Vectors that are too crowded for the passes to find their pairs with ``recall`` get more passes
-    or are compared with each other, see ``near_pairs``; so recall holds at every size and density.
+    or are compared with each other, see ``near_pairs``; so recall holds at every size and density, and the
+    pairs don't depend on how rows are partitioned.
 
     Vectors that are null, empty, of another length than most, all zero, or not finite are alone in their
     groups. Rows that share a ``vec_id`` are one item that is in all their groups' component. Rows of a null
@@ -258,18 +349,15 @@ def duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, window: int
         return ids.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(1).cast("long").alias("n_copies"))
     dim = sizes[0].dim
     unit = rows.mapInArrow(_units(dim), "vec_id long, v array<float>")
-    member = unit.withColumn("same", F.min("vec_id").over(_by_vector()))
-    member = cut(member)
-    vectors = member.filter("vec_id = same").select(F.col("same").alias("node"), "v").dropDuplicates(["node", "v"])
-    n = vectors.count()
-    near = near_pairs(vectors, dim, n, threshold, window, recall, seed)
+    # equal vectors have equal hashes of 128 bits, so that they meet without being sent
+    h = [F.xxhash64(F.lit(SEED + k), "v").alias(f"h{k}") for k in range(2)]
+    member = rewritten(unit.select("vec_id", *h).withColumn("same", F.min("vec_id").over(Window.partitionBy("h0", "h1"))))
+    vectors = join_checked(unit, member.filter("vec_id <> same").select("vec_id").distinct(), "vec_id", "left_anti").select(F.col("vec_id").alias("node"), "v")
+    n, lone, shared = member.agg(F.count("*"), F.count_distinct("vec_id"), F.count_if(F.col("vec_id") != F.col("same"))).first()
+    if lone < n:  # some rows share an id, so that a vector of theirs that leads its equals may have been left out, or be there twice
+        vectors = unit.select("*", *h).join(member.filter("vec_id = same").select("vec_id", "h0", "h1").distinct(), ["vec_id", "h0", "h1"]).dropDuplicates(["vec_id", "h0", "h1"]).select(F.col("vec_id").alias("node"), "v")
+    near = near_pairs(vectors, dim, n - shared, threshold, window, recall, seed, link=True)
     edges = near.unionByName(member.filter("vec_id <> same").select(F.col("same").alias("u"), F.col("vec_id").alias("v")))
     root = components(edges).select(F.col("node").alias("vec_id"), "root")
     out = ids.join(root, "vec_id", "left").select("vec_id", F.coalesce("root", "vec_id").alias("group_id"))
     return out.join(out.groupBy("group_id").agg(F.count("*").alias("n_copies")), "group_id").select("vec_id", "group_id", "n_copies")
-
-
-def _by_vector():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("v")

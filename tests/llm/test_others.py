@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 from graphloom.llm import chat, embed_dedup, mixing, omh, urlfilter
+from graphloom.llm.components import forest
 from graphloom.llm.textbuf import WORDS_ONLY, mix, tokens
 from pyspark.sql import functions as F
 
@@ -295,12 +296,13 @@ def test_pairs_in_a_dense_region(spark, compared):
 
 def test_depths_and_joining_pairs_match_brute_force():
     rng = np.random.default_rng(22)
-    key = np.sort(np.concatenate([rng.integers(0, 2**62, 300), rng.integers(0, 2**40, 60), np.full(12, 5)]))
-    p, window = np.zeros(len(key), np.int32), 8
-    got = embed_dedup.depths(p, key, window)
-    run = lambda i, d: (key >> (62 - d) == key[i] >> (62 - d)).sum()
-    assert got.tolist() == [next((d for d in range(63) if run(i, d) <= window), 63) for i in range(len(key))]
-    x = rng.standard_normal((60, 3)).astype(np.float32)
+    bits, window = embed_dedup.KEY_BITS, 8
+    key = np.sort(np.concatenate([rng.integers(0, 2**bits, 300), rng.integers(0, 2**30, 60), np.full(12, 5), rng.integers(0, 2**bits, 5) + (1 << bits), rng.integers(0, 2**bits, 50) + (2 << bits)]))
+    got = embed_dedup.depths(key, window)
+    run = lambda i, d: (key >> (bits - d) == key[i] >> (bits - d)).sum()
+    assert got.tolist() == [next((d for d in range(bits + 1) if run(i, d) <= window), bits + 1) for i in range(len(key))]
+    assert embed_dedup.depths(key[:8], window).tolist() == [0] * 8
+    x = rng.standard_normal((60, 2)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     a, b = np.arange(0, 30), np.arange(30, 60)
     label = lambda pairs: _labels(60, pairs)
@@ -310,6 +312,61 @@ def test_depths_and_joining_pairs_match_brute_force():
         assert set(zip(u, v)) <= set(every) and len(u) < len(every) and label(zip(u, v)) == label(every)
 
 
+def test_forests_join_what_edges_join():
+    rng = np.random.default_rng(31)
+    for n, m in ((2, 3), (60, 25), (60, 300), (400, 390)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        kept = forest(u, v)
+        assert _labels(n, zip(u[kept], v[kept])) == _labels(n, zip(u, v))
+        assert len(kept) == n - len(set(_labels(n, zip(u, v))))
+
+
+def test_codes_bound_products():
+    rng = np.random.default_rng(32)
+    x = rng.standard_normal((200, 24)).astype(np.float32)
+    x[0, :] = 0
+    x[0, 3] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y, error = embed_dedup.decoded(embed_dedup.coded(x))
+    assert (np.abs(y @ y.T - x @ x.T) <= error[:, None] + error + error[:, None] * error + 1e-6).all() and error.max() < 0.02
+
+
+def test_borders_reach_over_short_partitions():
+    rng = random.Random(33)
+    for _ in range(30):
+        sizes = [(2 * i + 1, rng.choice([1, 1, 2, 3, 9])) for i in range(rng.randint(1, 9))]
+        window = rng.randint(1, 6)
+        rows = [(p, r) for p, n in sizes for r in range(n)]
+        start = {p: rows.index((p, 0)) for p, _ in sizes}
+        want = {(to, j - start[to]): rows[j] for to, _ in sizes[1:] for j in range(max(0, start[to] - window), start[to])}
+        count = dict(sizes)
+        got = {(to, -1 - after - w): (n, count[n] - 1 - w) for n, to, take, after in embed_dedup.borders(sizes, window) for w in range(take)}
+        assert got == want
+
+
+def test_pairs_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(34)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((400, 32)))
+    away = rng.standard_normal((400, 32))
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([base, 0.96 * base + (1 - 0.96**2) ** 0.5 * away]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<float>")
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"]
+    old, seen = [spark.conf.get(c) for c in names], []
+    try:
+        for setting in (("4", "true"), ("4", "false"), ("100", "true"), ("100", "false"), ("200", "false")):
+            for c, value in zip(names, setting):
+                spark.conf.set(c, value)
+            seen.append({(r.u, r.v) for r in embed_dedup.near_pairs(df, 32, 800, embed_dedup.THRESHOLD, 16, 0.9, 3).collect()})
+    finally:
+        for c, value in zip(names, old):
+            spark.conf.set(c, value)
+    assert all(s == seen[0] for s in seen)
+    assert sum((i, 400 + i) in seen[0] for i in range(400)) >= 360
+    assert all(x[a] @ x[b] >= embed_dedup.THRESHOLD - 1e-6 for a, b in seen[0])
+
+
 def _labels(n, pairs):
     of = list(range(n))
     for a, b in pairs:
