@@ -66,28 +66,14 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
 
 def made_pairs(conversations: DataFrame) -> DataFrame:
-    """(conv_id, c, r): the turns of both sides, made from a table that has no preferences.
-
-    Chosen is each conversation that ends with the assistant. Rejected is the same with its last answer
-    replaced by the last answer of the conversation of the next ``conv_id``, if that has one, and left out
-    otherwise; so the sides part at the answer. Turns are shuffled once, and only the last answers again.
-    """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    whole = conversations.filter("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("c"))
-    last = F.element_at("c", -1)
-    answered = whole.filter(last["role"] == TRAINED)
-    other = answered.select((F.col("conv_id") - 1).alias("conv_id"), F.struct(last["text"].alias("text")).alias("other"))
-    before = F.filter("c", lambda t: t["turn"] < last["turn"])
-    worse = F.struct(last["turn"].alias("turn"), F.lit(TRAINED).alias("role"), F.col("other.text").alias("text"))
-    return answered.join(other, "conv_id", "left").select("conv_id", "c", F.when(F.col("other").isNull(), before).otherwise(F.concat(before, F.array(worse))).alias("r"))
-
-
-def all_pairs(conversations: DataFrame) -> DataFrame:
-    """(conv_id, c, r), as ``made_pairs`` gives it, of every conversation that has an assistant turn.
-
-    The sides part at the last assistant turn; what follows it stays on both sides, where no mask lets it
-    through. Rejected has in its place the last answer of the next answered conversation by ``conv_id``, after
-    the last of which comes the first. A sole answered conversation has no other answer; its is left out.
+    """(conv_id, c, r): the turns of both sides of every conversation that has an assistant turn, made from a
+    table that has no preferences.
+
+    Turns are in the order of turn, role and text, nulls first, so that repeated turns stay side by side. The
+    sides part at the last assistant turn; what follows it stays on both sides, where no mask lets it through.
+    Rejected has in its place the last answer, by turn and text, of the next answered conversation by
+    ``conv_id``, after the last of which comes the first. A sole answered conversation has no other answer;
+    its is left out. Rows of a null ``conv_id`` are left out. Other columns aren't read. No rows give no rows.
     """
     text = F.col("text").cast("string").alias("text")
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text)
@@ -122,14 +108,18 @@ def sql() -> str:
 
     head = len(OPEN) + 1
     return f"""
-WITH last AS (
-  SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS role, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id
-), answered AS (SELECT * FROM last WHERE role = '{TRAINED}'),
-chosen AS (SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN answered USING (conv_id)),
+WITH placed_turns AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), answered AS (
+  SELECT conv_id, max(place) AS at, arg_max(text, {{'turn': turn, 'text': text}}) AS answer FROM placed_turns WHERE role = '{TRAINED}' GROUP BY conv_id
+), following AS (
+  SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM answered
+), others AS (SELECT f.conv_id, f.at, f.next_id, b.answer FROM following f JOIN answered b ON b.conv_id = f.next_id),
+chosen AS (SELECT c.conv_id, c.place AS turn, c.role, c.text FROM placed_turns c JOIN answered USING (conv_id)),
 rejected AS (
-  SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN answered a USING (conv_id) WHERE c.turn < a.last_turn
-  UNION ALL
-  SELECT a.conv_id, a.last_turn, '{TRAINED}', b.last_text FROM answered a JOIN answered b ON b.conv_id = a.conv_id + 1
+  SELECT c.conv_id, c.place AS turn, c.role, CASE WHEN c.place = o.at THEN o.answer ELSE c.text END AS text
+  FROM placed_turns c JOIN others o USING (conv_id) WHERE c.place <> o.at OR o.next_id <> o.conv_id
 ), numbered AS (
   SELECT 'c' AS side, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM chosen
   UNION ALL

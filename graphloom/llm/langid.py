@@ -16,8 +16,9 @@ from .textbuf import blocks, row_sums
 
 #: The longest context, in bytes.
 ORDER = 4
-#: Contexts seen less often than this in the sample of every language are left out of the trees.
-LEAST_SEEN = 128
+#: Contexts that are seen at less than this share of a language's sample, in every language, are left out of the trees.
+#: So a language has at most 1 / LEAST_SHARE contexts of each length, whatever the size of the sample.
+LEAST_SHARE = 2e-5
 #: About how many labelled texts of each language fit its model; a hash of doc_id chooses them.
 TEXTS_PER_LANGUAGE = 1_000
 SEED = 29
@@ -53,7 +54,7 @@ def _count(order: int):
                     code = np.zeros(len(raw), np.int64)
                     for j in range(order, -1, -1):  # older bytes first; 256 stands for the start of the text
                         old = np.full(len(raw), 256, np.int64)
-                        old[j:] = raw[: len(raw) - j]
+                        old[j:] = raw[: max(0, len(raw) - j)]
                         code = code * 257 + np.where(place >= j, old, 256)
                     grams, n = np.unique(code, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
@@ -61,14 +62,16 @@ def _count(order: int):
     return run
 
 
-def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, least_seen: int = LEAST_SEEN) -> Trees:
+def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, least_seen: int | None = None, least_share: float = LEAST_SHARE) -> Trees:
     """Trees from each language's counts of order+1 bytes, packed in base 257 with 256 before the text.
 
     Escapes are those of method C, with exclusion of the symbols of longer contexts: after a context in which
     n symbols of u kinds were seen, a kind seen c times costs -log2(c / (n + u)) and an escape
-    -log2(u / (n + u)). After the empty context the bytes left are equally likely.
+    -log2(u / (n + u)). After the empty context the bytes left are equally likely. ``least_seen`` is a count
+    in place of ``least_share``.
     """
     langs = sorted(grams)
+    least = {k: least_share * n.sum() if least_seen is None else least_seen for k, (_, n) in grams.items()}
     seen = np.unique(np.concatenate([g % 257 for g, _ in grams.values()]))
     symbol = np.zeros(257, np.int32)
     symbol[seen] = np.arange(1, len(seen) + 1)
@@ -84,18 +87,17 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, l
     ids: list[dict[int, int]] = [{0: 0}]
     suffix, size = [0], 1
     for depth in range(1, order + 1):
-        most: dict[int, int] = {}
-        for digits, n in parts.values():
+        often: set[int] = set()
+        for lang, (digits, n) in parts.items():
             inside = np.ones(len(n), bool)
             code = np.zeros(len(n), np.int64)
             for j in range(depth, 0, -1):
                 code = code * base + digits[j]
                 inside &= digits[j] != none
             codes, at = np.unique(code[inside], return_inverse=True)
-            for c, total in zip(codes.tolist(), np.bincount(at, n[inside]).tolist()):
-                most[c] = max(most.get(c, 0), total)
+            often.update(codes[np.bincount(at, n[inside], len(codes)) >= least[lang]].tolist())
         level = {}
-        for c in sorted(c for c, total in most.items() if total >= least_seen):
+        for c in sorted(often):
             parent = ids[depth - 1].get(c % base ** (depth - 1))
             if parent is not None:
                 level[c] = size
@@ -151,7 +153,7 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, l
     return Trees(langs, order, symbol[:256], step, bits)
 
 
-def train(docs: DataFrame, lang: str = "lang", order: int = ORDER, least_seen: int = LEAST_SEEN, texts: int = TEXTS_PER_LANGUAGE) -> Trees | None:
+def train(docs: DataFrame, lang: str = "lang", order: int = ORDER, least_share: float = LEAST_SHARE, texts: int = TEXTS_PER_LANGUAGE) -> Trees | None:
     """Trees of the labelled languages of ``docs``; None without any labelled text."""
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & (F.trim(lang) != ""))
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()}
@@ -166,7 +168,7 @@ def train(docs: DataFrame, lang: str = "lang", order: int = ORDER, least_seen: i
     for k in sorted(set(names)):
         own = np.array([x == k for x in names])
         grams[k] = gram[own], n[own]
-    return build(grams, order, least_seen) if grams else None
+    return build(grams, order, None, least_share) if grams else None
 
 
 def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
@@ -182,7 +184,7 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
         state = np.zeros(len(raw), np.int32)
         for j in range(trees.order, 0, -1):  # the state depends on the last bytes alone
             old = np.zeros(len(raw), np.int32)
-            old[j:] = sym[: len(raw) - j]
+            old[j:] = sym[: max(0, len(raw) - j)]
             state = np.where(place >= j, step[state * width + old], 0)
         out[first : first + len(offsets) - 1] = row_sums(bits[state * width + sym], offsets)
     return out
@@ -223,14 +225,20 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     Each whole text is coded by the model of every language; the shortest code wins, the first by name in a
     tie. The language is null where the text is rejected: null or empty, in no language known here (over
     ``MAX_BITS`` a byte), or undecided (a margin under ``LEAST_MARGIN`` bits). Without labelled rows all are
-    rejected. Repeated rows and null ``doc_id`` give their own rows; other columns aren't read.
+    rejected. Repeated rows and null ``doc_id`` give their own rows, equal texts the same answer; other columns
+    aren't read. Whole texts are coded, however long. No rows give no rows.
     """
     slim = docs.select("doc_id", "text")
     out, name = _identified(slim, docs if labelled is None else labelled)
     return out.select("doc_id", F.col(f"{name}.lang").alias("language"), F.round(F.col(f"{name}.bits"), 9).alias("bits_per_byte"), F.round(F.col(f"{name}.margin"), 6).alias("margin_bits"))
 
 
-def accepted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language ``identify`` tells."""
+def accepted(docs: DataFrame, labelled: DataFrame | None = None, lang: str | None = None) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose language ``identify`` tells; null, empty and undecided ones go.
+
+    With ``lang``, that column of ``docs`` gets the language that was told. Repeated rows stay or go together;
+    a null ``doc_id`` doesn't matter. Columns keep their names, whatever these are. No rows give no rows.
+    """
     out, name = _identified(docs, docs if labelled is None else labelled)
-    return out.filter(F.col(f"{name}.lang").isNotNull()).select(*own(docs))
+    columns = [F.col(f"{name}.lang").alias(c) if c == lang else x for c, x in zip(docs.columns, own(docs))]
+    return out.filter(F.col(f"{name}.lang").isNotNull()).select(*columns)

@@ -30,7 +30,7 @@ def kmers(h: np.ndarray, row: np.ndarray, starts: np.ndarray, k: int) -> tuple[n
     for j in range(k):
         inside = left > j
         nxt = np.zeros(len(h), np.uint64)
-        nxt[: len(h) - j] = h[j:]
+        nxt[: max(0, len(h) - j)] = h[j:]
         out = np.where(inside, mix(out * _STEP + nxt + _U(j + 1)), out)
     first = np.zeros(len(h), bool)
     first[starts[:-1][count > 0]] = True

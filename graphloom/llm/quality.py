@@ -19,6 +19,8 @@ PRIOR = 4.0
 SEED = 17
 #: At most about so many labelled rows fit the model; they are chosen by a hash of doc_id.
 LABELLED_ROWS = 200_000
+#: A text that isn't blank: it has a character that isn't white space, of any script.
+SOME_TEXT = r"(?U)\S"
 #: A key is rounded to this many to one before the k-th is sought.
 _SCALE = 1 << 20
 
@@ -157,7 +159,7 @@ def _keys(docs: DataFrame, model: Model | None, p: str, key: str) -> DataFrame:
     # uniform in (0, 1), from the row alone
     u = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     gumbel = F.log(F.greatest(F.col(p), F.lit(1e-300))) - F.log(-F.log(u))
-    return out.withColumn(key, F.when(F.trim(text) != "", F.round(gumbel * _SCALE).cast("long")))
+    return out.withColumn(key, F.when(text.rlike(SOME_TEXT), F.round(gumbel * _SCALE).cast("long")))
 
 
 def _least_key(keys: DataFrame) -> int:
@@ -174,7 +176,8 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     probability of being good. Gumbel noise that is a hash of the row is added to the log weight, and the k
     rows of the largest keys are kept: a sample without replacement in proportion to the weights. k is the
     sum of the probabilities, the expected number of good rows. Rows tied with the k-th, repeated ones among
-    them, are kept as well. Null and blank texts are rejected. Without labels of both kinds all other rows
+    them, are kept as well. Null texts and those of white space alone are rejected. Whole texts are read,
+    however long. Null and repeated ``doc_id`` are rows like others; only a labelled ``doc_id`` fits the model. Without labels of both kinds all other rows
     have equal weights and are kept. No rows give no rows.
     """
     p, key = free_name(docs, "p_good"), free_name(docs, "gumbel_key")
@@ -184,7 +187,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def quality_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_good, gumbel_key) of the rows that ``resample`` keeps."""
+    """(doc_id, p_good, gumbel_key) of the rows that ``resample`` keeps, in each of its cases; other columns aren't read."""
     slim = docs.select("doc_id", "text")
     rows = cut(_keys(slim, fit(slim, labels), "p", "v").filter("v is not null").select("doc_id", "p", "v"))
     return rows.filter(F.col("v") >= F.lit(_least_key(rows))).select("doc_id", F.col("p").alias("p_good"), (F.col("v") / F.lit(float(_SCALE))).alias("gumbel_key"))

@@ -16,6 +16,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Encoded segments that a worker keeps; when it has so many it begins anew.
 KEPT_SEGMENTS = 100_000
+#: Characters of the longest segment that is kept, which bounds the bytes of all; longer ones are solved each time.
+KEPT_CHARACTERS = 48
 
 
 @dataclass
@@ -40,6 +42,22 @@ class Vocabulary:
         return cls(pieces, [sp.get_score(i) for i in range(n)], bytes_, sp.unk_id(), normal)
 
 
+class Decoder:
+    """Maps ids to the text that they stand for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.surface = [b""] * len(vocabulary.pieces)
+        for i in vocabulary.normal:
+            self.surface[i] = vocabulary.pieces[i].replace(SPACE, " ").encode()
+        for b, i in vocabulary.bytes_.items():
+            self.surface[i] = bytes([b])
+        self.surface[vocabulary.unknown] = " \u2047 ".encode()
+
+    def __call__(self, ids) -> str:
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+
 class Encoder(dict):
     """Maps a segment of text to the ids of its best segmentation, packed as 32-bit integers.
 
@@ -66,17 +84,14 @@ class Encoder(dict):
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in joined)
         self.cut = re.compile(r"(?s).+" if crossing else rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (rf"|[{alone}]" if alone else ""))
         self.worst = min((vocabulary.scores[i] for i in vocabulary.normal), default=0.0) - 10.0
-        self.surface = [b""] * len(vocabulary.pieces)
-        for i in vocabulary.normal:
-            self.surface[i] = vocabulary.pieces[i].replace(SPACE, " ").encode()
-        for b, i in vocabulary.bytes_.items():
-            self.surface[i] = bytes([b])
-        self.surface[vocabulary.unknown] = " \u2047 ".encode()
+        self.decode = Decoder(vocabulary)
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= KEPT_SEGMENTS:
-            self.clear()
-        out = self[segment] = np.array(self.viterbi(segment), np.int32).tobytes()
+        out = np.array(self.viterbi(segment), np.int32).tobytes()
+        if len(segment) <= KEPT_CHARACTERS:
+            if len(self) >= KEPT_SEGMENTS:
+                self.clear()
+            self[segment] = out
         return out
 
     def viterbi(self, segment: str) -> list[int]:
@@ -113,11 +128,6 @@ class Encoder(dict):
             return b""
         return b"".join(map(self.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -154,20 +164,25 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     with the usual space mark before the text; characters that no piece has become bytes. ``round_trip``
     tells whether decoding gives the text back, which it does unless the text has a space mark of its own.
     Null and empty texts have no ids, and a null has a null ``round_trip``. Repeated rows and null
-    ``doc_id`` give their own rows. Other columns aren't read.
+    ``doc_id`` give their own rows. Of paths of equal score the one whose last piece is longest is taken, and
+    so on back. Texts are encoded whole, however long. Other columns aren't read. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(shared), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) of rows with ``doc_id`` and ``ids``; null ids give a null text."""
+    """(doc_id, text) of rows with ``doc_id`` and ``ids``.
+
+    Null ids give a null text, no ids an empty one. Repeated rows and null ``doc_id`` give their own rows.
+    Other columns aren't read. No rows give no rows.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        decoder = Decoder(shared.value)
         for b in batches:
-            texts = [None if ids is None else encoder.decode(ids) for ids in b.column(1).to_pylist()]
+            texts = [None if ids is None else decoder(ids) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

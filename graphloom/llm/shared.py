@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -42,12 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def rewritten(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+    """``df`` written as Parquet in the shared folder and read again; ``remove`` ends the table."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Removes the table of ``rewritten`` that ``df`` reads; nothing that reads it can be run after that."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[1].startswith("table-"):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins to ``right``, which is broadcast only when it is counted to be at most ``limit`` rows.
 

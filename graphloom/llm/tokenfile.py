@@ -20,7 +20,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_IDS = 1 << 22
 #: One position in so many set bits is kept for select.
 SAMPLE = 256
+#: Encoded segments that a worker keeps, and the characters of the longest of them, which bounds their bytes.
 KEPT_SEGMENTS = 300_000
+KEPT_CHARACTERS = 48
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A coarser cut of a text than PATTERN's, at places where PATTERN always cuts.
@@ -98,9 +100,11 @@ class BytePairs(dict):
         self.dtype = dtype
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= KEPT_SEGMENTS:
-            self.clear()
-        out = self[segment] = np.array(self.encoding.encode_ordinary(segment), self.dtype).tobytes()
+        out = np.array(self.encoding.encode_ordinary(segment), self.dtype).tobytes()
+        if len(segment) <= KEPT_CHARACTERS:
+            if len(self) >= KEPT_SEGMENTS:
+                self.clear()
+            self[segment] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -170,7 +174,7 @@ def write_shards(docs: DataFrame, ranks: str = RANKS, shard_ids: int = SHARD_IDS
     A row is a shard: ``ids`` is the concatenation of its documents' ids, ``doc_ids`` names them, and
     ``low``, ``high`` and ``samples`` are the Elias-Fano code of its n_docs + 1 boundaries, with which
     ``EliasFano.select`` gives any offset. Nothing is shuffled; shard numbers tell the partition and the place
-    in it. Null and empty texts are documents of no ids. Repeated rows and null ``doc_id`` are kept as they
+    in it. Null and empty texts are documents of no ids; long ones are encoded whole. Repeated rows and null ``doc_id`` are kept as they
     are. Other columns aren't read. No rows give no shards.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))

@@ -25,14 +25,17 @@ RULES = [
     (r"&&+", "&"),
     (r"\?&", "?"),
     (r"[?&]+$", ""),
-    (r"/index\.html?$", ""),
+    (r"/index\.html?(\?|$)", r"/\1"),
     (r"/+$", ""),
     (r"/+\?", "?"),
 ]
 
 
 def canonical(url) -> F.Column:
-    """The URL without scheme, www., standard port, fragment, tracking parameters and trailing slash, its host in lower case."""
+    """The URL without scheme, www., standard port, fragment, tracking parameters, index page and trailing slash, its host in lower case.
+
+    Escapes and the order of parameters are left as they are: URLs that differ in these are different.
+    """
     out = F.trim(url)
     for pattern, to in RULES:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
@@ -73,9 +76,11 @@ def unlisted(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame
 
     Rows that miss the Bloom filter pass without a shuffle; only possible hits are joined exactly, which
     gives back the false positives. Null URLs, in either table, are never listed. Repeated rows stay or go
-    together. An empty list lets all rows pass. All columns of ``pages`` are kept, whatever their names.
+    together, and so do URLs of equal canonical form. URLs are read whole, however long; an empty one is a URL
+    like others. An empty list lets all rows pass. All columns of ``pages`` are kept, whatever their names. No
+    rows give no rows.
     """
-    keys = cut(listed.select(canonical(F.col(listed.columns[0]).cast("string")).alias("url")).dropna().distinct())
+    keys = cut(listed.select(canonical(own(listed)[0].cast("string")).alias("url")).dropna().distinct())
     count = keys.count()
     if not count:
         return pages
@@ -83,7 +88,7 @@ def unlisted(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame
     filter_ = cut(bloom(keys, blocks))
     c, b, *m = (free_name(pages, x) for x in ("canonical", "block", "m0", "m1", "m2", "m3"))
     filter_ = filter_.toDF(b, *m)
-    probed = pages.withColumn(c, canonical(pages[url].cast("string")))
+    probed = pages.withColumn(c, canonical(F.col("`" + url.replace("`", "``") + "`").cast("string")))
     probed = probed.withColumn(b, _block(F.col(c), blocks))
     probed = probed.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, b, "left")
     hit = F.col(c).isNotNull()

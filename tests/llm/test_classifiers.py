@@ -45,19 +45,55 @@ def judged(spark):
     return docs, docs.filter("doc_id % 2 = 0").select("doc_id", F.col("good").alias("quality"))
 
 
-def test_resampling_matches_brute_force(judged):
-    docs, labels = judged
-    kept = {r.doc_id: r for r in Q.quality_sample(docs, labels).collect()}
-    model = Q.fit(docs, labels)
-    # counts, means and probabilities again, text by text
-    rows = docs.collect()
-    half = {r.doc_id: (r.half, r.q) for r in labels.select("doc_id", F.col("quality").alias("q"), F.pmod(F.xxhash64("doc_id", F.lit(Q.SEED)), F.lit(2)).alias("half")).collect()}
-    grams = {}
-    for r in rows:
-        raw = np.frombuffer(r.text.encode(), np.uint8)
-        one, _, two, _ = Q.features(raw, np.array([0, len(raw)]), Q.BUCKETS)
-        grams[r.doc_id] = Counter([*one.tolist(), *two.tolist()])
-    raw, target = sum(grams.values(), Counter()), sum((g for d, g in grams.items() if half.get(d) == (0, 1)), Counter())
+def hashed(word, seed=0):
+    """The hash of a word's bytes, by whole numbers."""
+    h, power = 0, 1
+    for byte in word.encode():
+        h = (h + (byte + 1) * power) % 2**64
+        power = power * 0x9E3779B97F4A7C15 % 2**64
+    return finished(h)
+
+
+def finished(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def buckets_of(text):
+    words = [hashed(w) for w in re.findall(r"[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u1fff]+|[^0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u1fff\s]+", text)]
+    pairs = [finished((a * 0x9E3779B97F4A7C15 + b) % 2**64) for a, b in zip(words, words[1:])]
+    return Counter(h % Q.BUCKETS for h in words + pairs)
+
+
+def fitted(x, y):
+    """The logistic curve by halving intervals of both parameters, on the scaled values, with the same small ridge."""
+    scale = float(np.std(x)) or 1.0
+    z = np.array(x) / scale
+
+    def zero(f, low, high):
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if f(middle) > 0 else (low, middle)
+        return low
+
+    off = lambda a, b: y - 1 / (1 + np.exp(-np.clip(a + b * z, -40, 40)))
+    best = lambda b: zero(lambda a: off(a, b).sum(), -500.0, 500.0)
+    b = zero(lambda b: (off(best(b), b) * z).sum() - 1e-2 * b, -200.0, 200.0)
+    return best(b), b / scale
+
+
+def brute_sample(spark, docs, labels):
+    """(probability, key) by doc_id, and the doc_ids that are kept: texts are counted, scored and drawn one by one."""
+    rows = [r for r in docs.select("doc_id", "text").collect() if r.text and r.text.strip()]
+    marks = {}
+    for r in labels.select("doc_id", "quality").collect():
+        if r.doc_id is not None and r.quality is not None:
+            marks[r.doc_id] = min(marks.get(r.doc_id, 1), int(r.quality >= 1))
+    half = {r.doc_id: r.half for r in spark.createDataFrame([(d,) for d in marks], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(Q.SEED)), F.lit(2)).alias("half")).collect()}
+    grams = {r.doc_id: buckets_of(r.text) for r in rows}
+    raw = sum(grams.values(), Counter())
+    target = sum((g for d, g in grams.items() if half.get(d) == 0 and marks[d] == 1), Counter())
     n_raw, n_target = sum(raw.values()), sum(target.values())
 
     def mean(g):
@@ -67,13 +103,37 @@ def test_resampling_matches_brute_force(judged):
             total += n * (math.log((target[b] + Q.PRIOR * n_target * q) / (n_target * (1 + Q.PRIOR))) - math.log(q))
         return total / sum(g.values())
 
-    p = {d: 1 / (1 + math.exp(-model.a - model.b * mean(g))) for d, g in grams.items()}
-    for d, r in kept.items():
-        assert r.p_good == pytest.approx(p[d], abs=1e-6)
+    x = {d: mean(g) for d, g in grams.items()}
+    held = [d for d in grams if half.get(d) == 1]
+    a, b = fitted([x[d] for d in held], np.array([marks[d] for d in held]))
+    p = {d: 1 / (1 + math.exp(-a - b * v)) for d, v in x.items()}
     u = {r.doc_id: (r.h + 0.5) / (1 << 40) for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(Q.SEED), "doc_id", "text"), F.lit(1 << 40)).alias("h")).collect()}
     key = {d: math.log(max(p[d], 1e-300)) - math.log(-math.log(u[d])) for d in p}
-    k = round(sum(p.values()))
-    assert set(kept) == set(sorted(key, key=key.get)[-k:])
+    return p, set(sorted(key, key=key.get)[-round(sum(p.values())) :])
+
+
+def test_resampling_matches_brute_force(spark, judged):
+    docs, labels = judged
+    kept = {r.doc_id: r for r in Q.quality_sample(docs, labels).collect()}
+    p, want = brute_sample(spark, docs, labels)
+    for d, r in kept.items():
+        assert r.p_good == pytest.approx(p[d], abs=1e-4)
+    assert set(kept) == want
+
+
+def test_resampling_of_the_table_matches_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in Q.quality_sample(docs, labels).collect()}
+    _, want = brute_sample(spark, docs, labels)
+    assert len(kept ^ want) <= 0.01 * len(want)  # a sum of floats may tip the count or the last one
+
+
+def test_blank_texts_are_rejected(spark):
+    blank = [" ", "\n", " \n\t ", "\r\n", "\u00a0", "\u3000 \u2003", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*blank, "a word", "\u00a0a"])], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in Q.resample(docs, none).collect()) == [len(blank), len(blank) + 1]
+    assert sorted(r.doc_id for r in Q.quality_sample(docs, none).collect()) == [len(blank), len(blank) + 1]
 
 
 def test_held_out_quality(judged):
@@ -91,7 +151,7 @@ def test_quality_edges(spark, edge_docs, no_docs):
     for marks in (none, labels):
         kept = Q.resample(edge_docs, marks)
         assert kept.columns == edge_docs.columns
-        assert not kept.filter("text is null or trim(replace(replace(text, '\n', ''), '\t', '')) = ''").collect() or marks is not None
+        assert all(r.text and r.text.strip() for r in kept.select("text").collect())
         assert Q.resample(no_docs, marks).collect() == []
     assert {r.doc_id for r in Q.resample(edge_docs, none).filter("doc_id is not null").collect()} >= {1, 5, 6, 7, 8, 9}
     assert Q.resample(edge_docs, none).filter("text = 'the cat sat on the mat and looked at the dog'").count() == 3
@@ -152,6 +212,46 @@ def test_code_lengths_match_brute_force():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def brute_trees(samples, order, share):
+    """(counts by language and context, contexts that are kept), one byte at a time."""
+    counts = {k: {} for k in samples}
+    for k, texts in samples.items():
+        for t in texts:
+            b = t.encode()
+            for i in range(len(b)):
+                for d in range(min(order, i) + 1):
+                    counts[k].setdefault(b[i - d : i], Counter())[b[i]] += 1
+    size = {k: sum(len(t.encode()) for t in texts) for k, texts in samples.items()}
+    often = {c for k in samples for c, n in counts[k].items() if sum(n.values()) >= share * size[k]}
+    return counts, {c for c in often if all(c[i:] in often for i in range(1, len(c)))}
+
+
+SMALL = {
+    "en": [f"the {a} and the {b} of a house" for a in ("cat", "rat") for b in ("dog", "hat", "king", "tree", "sea", "bird")],
+    "de": [f"der {a} und die {b} von einem haus" for a in ("hund", "hut") for b in ("katze", "see", "welt", "zeit", "luft", "nacht")],
+}
+
+
+@pytest.mark.parametrize("share", [L.LEAST_SHARE, 0.01])
+def test_code_lengths_of_a_small_sample_at_the_default_order(share):
+    trees = L.build({k: _grams(v, L.ORDER) for k, v in SMALL.items()}, least_share=share)
+    brute = brute_trees(SMALL, L.ORDER, share)
+    for text in ["the sea and the king", "der see von luft", "zzz", "é"]:
+        b = text.encode()
+        got = L.code_lengths(trees, pa.array([text]))[0]
+        for k, lang in enumerate(trees.languages):
+            want = sum(ppm(brute, L.ORDER, None, lang, b[max(0, i - L.ORDER) : i], b[i], None) for i in range(len(b)))
+            assert got[k] == pytest.approx(want, rel=1e-4)
+    assert len(trees.step) == len(brute[1] | {b""})
+
+
+def test_a_small_sample_tells_languages(spark):
+    rows = [(i, t, k) for k, texts in SMALL.items() for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    other = spark.createDataFrame([(1, "the hat and the sea"), (2, "die welt und der hund"), (3, "the king of a tree"), (4, "zeit und nacht")], "doc_id long, text string")
+    assert {r.doc_id: r.language for r in L.identify(other, docs).collect()} == {1: "en", 2: "de", 3: "en", 4: "de"}
+
+
 def test_counts_in_spark_match(spark):
     docs = spark.createDataFrame([(1, "the cat", "en"), (2, "the hat", "en"), (3, "", "en")], "doc_id long, text string, lang string")
     rows = docs.select("lang", "text").mapInArrow(L._count(4), "lang string, gram long, n long").collect()

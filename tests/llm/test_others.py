@@ -114,7 +114,7 @@ def test_mixing_edges(edge_docs, no_docs):
 
 CANONICAL = {
     "http://www.Example.com/a/": "example.com/a", "HTTPS://example.com:443/a#top": "example.com/a", "https://example.com/A?utm_source=x&b=1": "example.com/A?b=1",
-    "http://example.com/?ref=x": "example.com", "https://example.com/index.html": "example.com", "example.com/a?b=1&utm_medium=q": "example.com/a?b=1", "": "", "http://example.com:8080/": "example.com:8080",
+    "http://example.com/?ref=x": "example.com", "https://example.com/index.html": "example.com", "example.com/a?b=1&utm_medium=q": "example.com/a?b=1", "": "", "http://example.com:8080/": "example.com:8080", "http://example.com/index.htm?a=1": "example.com?a=1", "https://example.com/?a=1": "example.com?a=1",
 }
 
 
@@ -160,6 +160,8 @@ def test_filter_edges(spark):
     kept = urlfilter.unlisted(pages, listed)
     assert kept.columns == pages.columns and sorted((r.page_id or 0) for r in kept.collect()) == [0, 2, 3]
     assert urlfilter.unlisted(pages, listed.filter("false")).count() == 5
+    dotted = listed.select(F.col("url").alias("the.url"), F.lit(1).alias("url"))
+    assert urlfilter.unlisted(pages, dotted).count() == 3
     assert urlfilter.unlisted(pages.filter("false"), listed).collect() == []
 
 
@@ -222,7 +224,7 @@ def test_all_answered_conversations_make_pairs(spark):
         7: [("user", "f"), ("assistant", "g"), ("user", "h"), ("assistant", None), ("user", "i")], 9: [("system", "s"), ("assistant", "j")], 12: [("user", "k")],
     }
     frame = lambda some: spark.createDataFrame([(i, j, *t) for i in some for j, t in enumerate(talks[i])] + [(None, 0, "assistant", "z")], "conv_id long, turn long, role string, text string")
-    rows = {r.conv_id: tuple(r)[1:] for r in chat.format_pairs(chat.all_pairs(frame(talks))).collect()}
+    rows = {r.conv_id: tuple(r)[1:] for r in chat.format_pairs(chat.made_pairs(frame(talks))).collect()}
     answered = [1, 4, 7, 9]
     assert sorted(rows) == answered
     last = {i: max(j for j, t in enumerate(talks[i]) if t[0] == "assistant") for i in answered}
@@ -230,16 +232,26 @@ def test_all_answered_conversations_make_pairs(spark):
         c = [(j, *t) for j, t in enumerate(talks[i])]
         r = c[: last[i]] + [(last[i], "assistant", talks[k][last[k]][1])] + c[last[i] + 1 :]
         assert rows[i] == brute_pair(c, r)
-    sole = chat.format_pairs(chat.all_pairs(frame([2, 9]))).collect()
+    sole = chat.format_pairs(chat.made_pairs(frame([2, 9]))).collect()
     assert [(r.conv_id, r.chosen_mask != "", r.rejected) for r in sole] == [(9, True, "")]
-    assert chat.all_pairs(frame([2])).collect() == []
+    assert chat.made_pairs(frame([2])).collect() == []
+
+
+def test_made_pairs_match_sql(spark):
+    c = duckdb.connect()
+    c.execute("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    want = c.execute(chat.sql())
+    names = [d[0] for d in want.description]
+    rows = chat.format_pairs(chat.made_pairs(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+    assert sorted(names) == sorted(rows.columns)
+    assert sorted(tuple(r) for r in rows.select(*names).collect()) == sorted(want.fetchall())
 
 
 def test_all_pairs_of_the_table(spark):
     talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     want = talks.filter("role = 'assistant'").select("conv_id").distinct().count()
-    rows = chat.format_pairs(chat.all_pairs(talks)).collect()
-    assert len(rows) == want > chat.made_pairs(talks).count()
+    rows = chat.format_pairs(chat.made_pairs(talks)).collect()
+    assert len(rows) == want
     assert all(r.chosen_mask and r.rejected_mask or r.chosen == r.rejected == "" for r in rows)
 
 

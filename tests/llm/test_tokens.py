@@ -112,6 +112,19 @@ def test_elias_fano(lengths):
     assert bits <= len(offsets) * (3 + np.log2(offsets[-1] / len(offsets) + 2)) + 16
 
 
+def test_long_segments_are_not_kept():
+    rng = random.Random(4)
+    encoder, coder = P.Encoder(VOCABULARY), T.BytePairs(RANKS, T.id_type(RANKS))
+    for n in (60, 20_000):
+        text = "".join(rng.choices("abcdefgh漢字", k=n))
+        assert encoder.decode(np.frombuffer(encoder.encode(text), np.int32)) == text
+        assert encoder.encode(text) == encoder.encode(text)
+        assert coder.encoding.decode(np.frombuffer(coder.encode(text), coder.dtype).tolist()) == text
+    encoder.encode("short words"), coder.encode("short words")
+    for kept, most in ((encoder, P.KEPT_CHARACTERS), (coder, T.KEPT_CHARACTERS)):
+        assert kept and max(map(len, kept)) <= most
+
+
 def test_sparse_select():
     offsets = np.array([0] * 300 + [10**6] * 300 + [10**9])
     ef = T.EliasFano.encode(offsets)
