@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, own
+from .shared import SOME_TEXT, free_name, own
 from .textbuf import blocks, row_sums
 
 #: The longest context, in bytes.
@@ -215,7 +215,8 @@ def _identified(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, str]:
     if trees is None:
         return docs.withColumn(name, F.lit(None).cast("struct<lang:string,bits:double,margin:double>")), name
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return docs.withColumn(name, identifier(shared)(F.coalesce(F.col("text").cast("string"), F.lit("")))), name
+    text = F.col("text").cast("string")
+    return docs.withColumn(name, identifier(shared)(F.when(text.rlike(SOME_TEXT), text).otherwise(""))), name
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -223,7 +224,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
     The models are fitted to a bounded sample of labelled rows, of ``docs`` by default, and then frozen.
     Each whole text is coded by the model of every language; the shortest code wins, the first by name in a
-    tie. The language is null where the text is rejected: null or empty, in no language known here (over
+    tie. The language is null where the text is rejected: null or blank, in no language known here (over
     ``MAX_BITS`` a byte), or undecided (a margin under ``LEAST_MARGIN`` bits). Without labelled rows all are
     rejected. Repeated rows and null ``doc_id`` give their own rows, equal texts the same answer; other columns
     aren't read. Whole texts are coded, however long. No rows give no rows.
@@ -234,7 +235,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labelled: DataFrame | None = None, lang: str | None = None) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language ``identify`` tells; null, empty and undecided ones go.
+    """The rows of ``docs``, with their columns, whose language ``identify`` tells; null, blank and undecided ones go.
 
     With ``lang``, that column of ``docs`` gets the language that was told. Repeated rows stay or go together;
     a null ``doc_id`` doesn't matter. Columns keep their names, whatever these are. No rows give no rows.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name, join_checked, own
+from .shared import SOME_TEXT, cut, free_name, join_checked, own
 from .textbuf import CLASSES, blocks, mix, row_sums, tokens
 
 BUCKETS = 1 << 16
@@ -19,8 +19,6 @@ PRIOR = 4.0
 SEED = 17
 #: At most about so many labelled rows fit the model; they are chosen by a hash of doc_id.
 LABELLED_ROWS = 200_000
-#: A text that isn't blank: it has a character that isn't white space, of any script.
-SOME_TEXT = r"(?U)\S"
 #: A key is rounded to this many to one before the k-th is sought.
 _SCALE = 1 << 20
 

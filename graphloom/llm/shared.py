@@ -14,10 +14,17 @@ from ..session import importable
 
 #: Rows of one or two longs that a join may broadcast; beyond this the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: A text that isn't blank: it has a character that isn't white space, of any script.
+SOME_TEXT = r"(?U)\S"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """Lets workers import the package."""
     importable(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
