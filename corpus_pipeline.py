@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import langid, mixing, quality, sentencepieces, simhash_dedup
-from graphloom.llm.shared import cut, join_checked, own, remove, rewritten, table
-from graphloom.session import importable
+from graphloom.llm.shared import cut, join_checked, own, prepared, remove, rewritten, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +24,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, by models of the languages of ``docs``; ``lang`` becomes that language.
 
-    Null, empty and undecided texts go; in a tie of two languages a text is undecided. Repeated rows stay or
+    Null, blank and undecided texts go; in a tie of two languages a text is undecided. Repeated rows stay or
     go together. A null ``lang`` fits no model but gets the language that is told.
     """
-    importable(spark)
+    prepared(spark)
     return langid.accepted(docs, lang="lang")
 
 
@@ -37,7 +36,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows without a ``doc_id``, and null and blank texts, stay. Rows that share a ``doc_id`` stay or go together.
     """
-    importable(spark)
+    prepared(spark)
     gone = cut(simhash_dedup.duplicates(docs).select("doc_id"))
     return join_checked(docs, gone, "doc_id", "left_anti").select(*own(docs))
 
@@ -53,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each row, as (doc_id, ids, n_tokens, round_trip); null and empty texts have none, repeated rows the same."""
-    importable(spark)
+    prepared(spark)
     return sentencepieces.encode(docs)
 
 
