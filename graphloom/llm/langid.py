@@ -49,7 +49,7 @@ def _count(order: int):
             names = b.column(0).to_pylist()
             for lang in sorted(set(names)):
                 texts = b.column(1).filter(pa.array([x == lang for x in names]))
-                for _, raw, offsets in blocks(texts, 1 << 21):
+                for _, raw, offsets in blocks(texts, 1 << 20):
                     place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
                     code = np.zeros(len(raw), np.int64)
                     for j in range(order, -1, -1):  # older bytes first; 256 stands for the start of the text

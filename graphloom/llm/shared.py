@@ -16,11 +16,14 @@ from ..session import importable
 BROADCAST_ROWS = 2_000_000
 #: A text that isn't blank: it has a character that isn't white space, of any script.
 SOME_TEXT = r"(?U)\S"
+#: Rows of a batch between the JVM and Python; texts are long, and each task holds some batches on both sides.
+BATCH_ROWS = 1024
 
 
 def prepared(spark: SparkSession) -> None:
-    """Lets workers import the package."""
+    """Lets workers import the package, and bounds the rows of the batches that they get."""
     importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
