@@ -155,7 +155,17 @@ def display_label(labels: Column, tail: Column) -> Column:
     return F.coalesce(F.get(F.filter(labels, lambda x: x.rlike("[A-Z]")), F.lit(0)), title_case(F.replace(tail, F.lit("_"), F.lit(" "))))
 
 
-def valid_tag(c: Column, stop: list[str]) -> Column:
+#: Words that are no tags.
+STOP_WORDS = """
+    a about above after again against all also although an and any are as at back bad be because been before being below between big but by can coming
+    could dare doing down during each even few first for found from further get going good got great had has have having here high how if in into is
+    it its just large last little long low made many may might more most much must need new no nor not now of off old on once one only or other ought
+    out over own said same shall short should small so some still such than that the their them then there these they this those though through to too
+    two under up used very was way well were what when where which while who whom why will with would
+""".split()
+
+
+def valid_tag(c: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Whether a tag is long enough and no stop word."""
     return (F.length(F.trim(c)) >= 3) & ~F.lower(F.trim(c)).isin(*stop)
 
@@ -165,6 +175,23 @@ def basename(c: Column) -> Column:
     return F.regexp_extract(c, r"[^\\/]*$", 0)
 
 
+#: Prefixes of the namespaces that ``compact`` knows.
+PREFIXES = {"http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf:", "http://www.w3.org/2000/01/rdf-schema#": "rdfs:", "http://www.w3.org/2002/07/owl#": "owl:", "http://schema.org/": "schema:", "http://xmlns.com/foaf/0.1/": "foaf:"}
+
+
+def compact(c: Column, prefixes: dict[str, str] | None = None) -> Column:
+    """A node's name with the prefix of its namespace in place of it; other names as they are."""
+    out = c
+    for space, prefix in (PREFIXES if prefixes is None else prefixes).items():
+        out = F.when(c.startswith(space), F.concat(F.lit(prefix), F.substr(c, F.lit(len(space) + 1)))).otherwise(out)
+    return out
+
+
+def shortened(c: Column, most: int = 25) -> Column:
+    """A label of at most so many characters."""
+    return F.substring(c, 1, most)
+
+
 def local_name(c: Column) -> Column:
     """What follows the last slash, number sign or colon of a name."""
     return F.regexp_extract(c, "[^/#:]*$", 0)

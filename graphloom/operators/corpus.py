@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def instance_triples(rows: DataFrame, s) -> DataFrame:
     )
 
 
+def bridge_mapping(rows: DataFrame) -> DataFrame:
+    """(modality, idx, instance): which instance each index position of either side stands for, from unified rows."""
+    s = F.concat(F.lit("instance/"), F.col("filename"))
+    side = lambda m: rows.filter(F.col(f"{m}_idx").isNotNull()).select(F.lit(m).alias("modality"), F.col(f"{m}_idx").alias("idx"), s.alias("instance"))
+    return side("vision").unionByName(side("text"))
+
+
+def build_summary(rows: DataFrame) -> DataFrame:
+    """Instances of unified rows, by modality and dataset, and those with an entry, in one pass."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    m = F.col("modality")
+    return rows.agg(F.count("*").alias("instances"), n(m == "vision", "vision_only"), n(m == "text", "text_only"), n(m == "both", "both_sides"), n(F.col("dataset_type") == "confirmed", "confirmed"), n(F.col("entry_id").isNotNull(), "with_entry"))
+
+
 def text_by_file(rows: DataFrame) -> DataFrame:
     """The last text of each file name, from rows of ``filename``, ``text`` and their position ``pos``."""
     return rows.filter("text is not null").groupBy("filename").agg(F.max_by("text", "pos").alias("text"))
@@ -92,12 +108,24 @@ def popularity_rank(rows: DataFrame, cls: str = "class_id", pos: str = "idx") ->
 
 
 def stratified_split(rows: DataFrame, by: list[str], key: str, train: float = 0.8) -> DataFrame:
-    """``rows`` with ``split``: of each group max(1, floor(train * n)) for training, by a digest of ``key``; a group of one is for training."""
-    w = Window.partitionBy(*by)
-    order = w.orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(w)
-    keep = F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(float(train)) * n)))
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= keep, "train").otherwise("test"))
+    """``rows`` with ``split``: of each group max(1, floor(train * n)) for training, by a digest of ``key``; a group of one is for training.
+
+    The digest's first digits cut each group into ranges that are counted; only the range with a group's last
+    row for training is ranked, so that no task sorts a group, however few groups there are.
+    """
+    digest, slot = F.md5(F.col(key).cast("string")), F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("int")
+    keyed = rows.withColumn("_slot", slot)
+    per = keyed.groupBy(*by, "_slot").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    per = per.withColumn("_n", F.sum("_c").over(group)).withColumn("_before", F.sum("_c").over(group.orderBy("_slot")) - F.col("_c"))
+    most = F.when(F.col("_n") == 1, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(float(train)) * F.col("_n"))))
+    last = per.withColumn("_most", most).filter("_before < _most and _most <= _before + _c").select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col("_slot").alias("_last"), (F.col("_most") - F.col("_before")).alias("_left"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
+    placed = keyed.join(last, reduce(lambda a, b: a & b, same)).drop(*(f"_by_{i}" for i in range(len(by))))
+    clear = placed.filter("_slot <> _last").withColumn("split", F.when(F.col("_slot") < F.col("_last"), "train").otherwise("test"))
+    order = Window.partitionBy(*by, "_slot").orderBy(digest, key)
+    ranked = placed.filter("_slot = _last").withColumn("split", F.when(F.row_number().over(order) <= F.col("_left"), "train").otherwise("test"))
+    return clear.unionByName(ranked).select(*rows.columns, "split")
 
 
 def index_cube(rows: DataFrame) -> DataFrame:
@@ -105,10 +133,17 @@ def index_cube(rows: DataFrame) -> DataFrame:
     return rows.cube("dataset_type", "split").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("classes")).select(F.coalesce("dataset_type", F.lit("all")).alias("dataset_type"), F.coalesce("split", F.lit("all")).alias("split"), "n", "classes")
 
 
+def index_summary(cube: DataFrame) -> DataFrame:
+    """(subset, n, classes, rank): the subsets of ``index_cube`` by their size."""
+    w = Window.orderBy(F.desc("n"), "dataset_type", "split")  # over nine rows at most
+    return cube.select(F.concat_ws("/", "dataset_type", "split").alias("subset"), "n", "classes", F.row_number().over(w).cast("long").alias("rank"))
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key: an aggregate, which tasks make for their own rows before any shuffle."""
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in rows.columns))
+    first = rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def dense_subset(rows: DataFrame, condition, order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions.text import local_name
+from ..functions.text import local_name, valid_tag
 from .patterns import labels, match, types
 
 #: Categories by the order in which they claim a name.
@@ -42,10 +42,14 @@ def semantics(triples: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def flow(bridged: DataFrame, meanings: DataFrame, query: str = "query", per_category: int = 8) -> DataFrame:
-    """(source, target, weight): links from the query to entries, by hits, and from them to the first names of each category."""
+    """(source, target, weight): links from the query to entries, by hits, and from these to the names of each category
+    that most entries have, tags that are stop words left out and subcultures not drawn."""
     first = bridged.select(F.lit(query).alias("source"), F.col("entry").alias("target"), F.col("hits").cast("long").alias("weight"))
-    w = Window.partitionBy("entry", "category").orderBy("name")
-    second = meanings.filter("category <> 'subcultures'").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_category)
+    drawn = meanings.filter((F.col("category") != "subcultures") & ((F.col("category") != "tags") | valid_tag(F.col("name")))).select("entry", "category", "name").distinct()
+    per = drawn.groupBy("category", "name").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("category").orderBy(F.desc("n"), "name")
+    top = per.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_category).select("category", "name")
+    second = drawn.join(F.broadcast(top), ["category", "name"])  # at most per_category names of each of six categories
     return first.unionByName(second.select(F.col("entry").alias("source"), F.concat("category", F.lit(":"), "name").alias("target"), F.lit(1).cast("long").alias("weight")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.text import label_variants, normalize_label, predicate_name, slug, temporal_predicate
 from ..schema import iri, literal, melt
+from ..session import BROADCAST_ROWS
 from .patterns import match
 
 
@@ -82,38 +83,44 @@ def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def canonical_relations(counts: DataFrame, frequent: int = 5, threshold: float = 0.6) -> DataFrame:
     """(relation, canonical, ratio): rare relations with the most similar frequent one, if similar enough.
 
-    ``counts`` has relation and n, a row a distinct relation; the frequent ones are few.
+    ``counts`` has relation and n, a row a distinct relation. Pairs whose lengths rule the threshold out aren't
+    scored; the frequent relations are broadcast if they are counted to be few.
     """
     canon = counts.filter(F.col("n") >= frequent).select(F.col("relation").alias("canonical"))
     rare = counts.filter(F.col("n") < frequent).select("relation")
-    scored = similarity(rare.crossJoin(canon), "relation", "canonical").filter(F.col("ratio") >= threshold)
+    few = canon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # matching characters are at most those of the shorter one, and at most those that both have
+    a, b = F.length("relation"), F.length("canonical")
+    pairs = rare.join(F.broadcast(canon) if few else canon, (2 * a >= threshold * (a + b)) & (2 * b >= threshold * (a + b)))
+    scored = similarity(pairs, "relation", "canonical").filter(F.col("ratio") >= threshold)
     return scored.groupBy("relation").agg(F.max_by("canonical", F.struct("ratio", F.col("canonical"))).alias("canonical"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 
 def parse_relations(text: str | None) -> list[tuple[str, str, str]]:
     """(subject, relation, object) of generated markup: a subject, then its objects, each with a relation."""
     out: list[tuple[str, str, str]] = []
-    parts = {"subject": "", "object": "", "relation": ""}
-    state = None
+    subject, relation, object_ = [], [], []
+    into: list[str] | None = None
 
-    def flush() -> None:
-        subject, obj, rel = (parts[k].strip() for k in ("subject", "object", "relation"))
-        if subject and obj and rel:
-            out.append((subject, rel, obj))
-        parts["object"] = parts["relation"] = ""
+    def built() -> None:
+        if subject and relation and object_:
+            out.append((" ".join(subject), " ".join(relation), " ".join(object_)))
 
     for token in (text or "").replace("<s>", " ").replace("</s>", " ").replace("<pad>", " ").split():
         if token == "<triplet>":
-            flush()
-            parts["subject"], state = "", "subject"
+            built()
+            subject, relation, object_ = [], [], []
+            into = subject
         elif token == "<subj>":
-            flush()
-            state = "object"
+            if relation:  # it stays for an object without one of its own
+                built()
+                object_ = []
+            into = object_
         elif token == "<obj>":
-            parts["relation"], state = "", "relation"
-        elif state:
-            parts[state] += " " + token
-    flush()
+            relation = into = []
+        elif into is not None:
+            into.append(token)
+    built()
     return out
 
 

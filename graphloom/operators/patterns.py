@@ -110,6 +110,28 @@ def find_label(triples: DataFrame, text: str, limit: int = 1) -> DataFrame:
     return having(hits, triples, V.TYPE, V.ENTRIES).select("s", F.col("o").alias("label")).orderBy("label", "s").limit(limit)
 
 
+def exact_label(triples: DataFrame, label: str, limit: int = 1) -> DataFrame:
+    """(s, label, type): the entry of exactly this label, the first by name and class."""
+    hits = match(triples, p=V.LABEL, o=label).select("s", F.col("o").alias("label"))
+    kinds = types(triples).filter(F.col("t").isin(*V.ENTRIES)).select("s", F.col("t").alias("type"))
+    return hits.join(kinds, "s").orderBy("s", "type").limit(limit)
+
+
+def sample_entities(triples: DataFrame, cls: str | None = None, limit: int = 20) -> DataFrame:
+    """(s, label): the first entities by label, of a class if one is named."""
+    known = labels(triples)
+    if cls is not None:
+        known = known.join(subjects(triples, V.TYPE, cls), "s", "left_semi")
+    return known.select("s", "label").orderBy("label", "s").limit(limit)
+
+
+def connection_totals(others: DataFrame, memes: DataFrame) -> DataFrame:
+    """(e, n, memes, types, kinds, engagement): what ``secondary_connections`` say of each entity, with the engagement of its memes."""
+    rows = others.join(memes.select("meme", "engagement"), "meme")
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return rows.groupBy("e").agg(F.count("*").alias("n"), F.count_distinct("meme").alias("memes"), names("type").alias("types"), names("kind").alias("kinds"), F.sum("engagement").alias("engagement"))
+
+
 def connections(triples: DataFrame) -> DataFrame:
     """(meme, kind, e): the edges by which memes are connected, kind being the predicate's local name."""
     memes = subjects(triples, V.TYPE, V.MEME)

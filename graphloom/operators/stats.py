@@ -257,3 +257,19 @@ def anomalies(triples: DataFrame) -> DataFrame:
 def entity_card(triples: DataFrame, entity: str) -> DataFrame:
     """(p, values, example): what is known of an entity, by predicate."""
     return match(triples, s=entity).groupBy("p").agg(F.count("*").alias("values"), F.min("o").alias("example"))
+
+
+def top_properties(triples: DataFrame, prefix: str = "kg:", n: int = 10) -> DataFrame:
+    """(p, n): the vocabulary's most used predicates."""
+    return triples.filter(F.col("p").startswith(prefix)).groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(n)
+
+
+def analysis_report(triples: DataFrame, declared: DataFrame, connected: int = 5) -> DataFrame:
+    """(category, metric, value): classes, properties, structure, the most connected nodes and predicates without a description."""
+    long = lambda df, category, metric, value: df.select(F.lit(category).alias("category"), F.col(metric).alias("metric"), F.col(value).cast("double").alias("value"))
+    sizes = triples.agg(F.count("*").alias("triples"), _count(F.col("o_kind") == "iri").alias("edges")).unpivot([], ["triples", "edges"], "metric", "value")
+    return (
+        long(class_counts(triples), "class", "class", "n").unionByName(long(property_usage(triples), "property", "p", "n"))
+        .unionByName(long(most_connected(triples).orderBy(F.desc("degree"), "e").limit(connected), "connected", "e", "degree")).unionByName(long(sizes, "structure", "metric", "value"))
+        .unionByName(long(undescribed(triples.unionByName(declared)), "undescribed", "p", "n"))
+    )
