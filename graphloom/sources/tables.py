@@ -107,13 +107,20 @@ TEXT_COLUMNS = ["ocr", "OCR", "text", "Text", "ocr_text", "caption"]
 FILE_COLUMNS = ["Image Ref", "file", "filename", "image"]
 
 
+def _undecodable(spark: SparkSession, path: str) -> bool:
+    """Whether some line isn't UTF-8; such bytes are read as U+FFFD."""
+    return not spark.read.text(path).filter(F.col("value").contains("\ufffd")).isEmpty()
+
+
 def read_ocr(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(filename, text, class_id, n_chars, n_words, pos) of recognised texts; blanks, null words and single characters are left out.
 
-    The text column is the first of the usual names, else the one of the longest mean text. The class is the
+    A file that isn't UTF-8 is read as Latin-1. The text column is the first of the usual names, else the one of the longest mean text. The class is the
     label, else what stands before the first dash of the file's name.
     """
     rows = read_csv(spark, path, encoding=encoding)
+    if encoding == "UTF-8" and _undecodable(spark, path):
+        rows = read_csv(spark, path, encoding="ISO-8859-1")
     text = next((c for c in TEXT_COLUMNS if c in rows.columns), None)
     if text is None:
         means = rows.agg(*(F.avg(F.length(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(rows.columns))).first()
@@ -174,6 +181,24 @@ def label_stats(dictionary: DataFrame) -> DataFrame:
     return dictionary.agg(F.count_if(F.col("src") == 0).alias("labels"), F.count_if(F.col("src") == 1).alias("aliases"), F.count_distinct("id").alias("entities"))
 
 
+def write_labels(dictionary: DataFrame, path: str) -> None:
+    """Keeps a label dictionary, sorted by label, so that a look-up of few labels reads few row groups."""
+    dictionary.select("id", "label", "src").repartitionByRange("label").sortWithinPartitions("label").write.parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary that ``write_labels`` kept."""
+    return spark.read.schema("id string, label string, src int").parquet(path)
+
+
+def write_vectors(vectors: DataFrame, path: str, cls: str = "class_id") -> None:
+    """Vectors with their metadata in one table, and the popularity of their classes in another."""
+    from ..operators.corpus import popularity_rank
+
+    vectors.write.parquet(f"{path}/vectors")
+    popularity_rank(vectors, cls).coalesce(1).write.json(f"{path}/popularity")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A report as one JSON object a row."""
     df.write.json(path)

@@ -15,8 +15,11 @@ _STORE = "s string, o string, o_kind string, o_datatype string, o_lang string, p
 
 
 def write_store(triples: DataFrame, path: str) -> None:
-    """A folder a predicate, so that a bound predicate prunes all other files."""
-    triples.select(*COLUMNS).write.partitionBy("p").parquet(path)
+    """A folder a predicate, so that a bound predicate prunes all other files.
+
+    Rows are sent by predicate, in parts of even size, so that a rare predicate is one file and not one a task.
+    """
+    triples.select(*COLUMNS).hint("rebalance", "p").write.partitionBy("p").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +50,12 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 _LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
 
 
+def rejected_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """(n, example): the lines that are neither a triple that ``read_ntriples`` takes nor blank nor a comment."""
+    bad = spark.read.text(path).filter(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+    return bad.agg(F.count("*").alias("n"), F.min("value").alias("example"))
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """The triples of N-Triples files, as a set; comments and lines that are no triple are passed over."""
     rows = spark.read.text(path).filter(F.col("value").rlike(_LINE))
