@@ -79,17 +79,35 @@ def build_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instance_triples(unified(spark, sf_dir).join(parents, "entry_id"), F.concat(F.lit("instance/"), F.col("filename")))
 
 
-_stores: dict[tuple[str, str, str], str] = {}
+_stores: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+_SOURCES = ("part", "customer", "supplier", "orders", "lineitem", "nation", "region", "labels", "documents", "embeddings")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of the tables' files."""
+    out = []
+    for name in _SOURCES:
+        fs, at = _hadoop(spark, f"{sf_dir}/{name}.parquet")
+        out += sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    return tuple(out)
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """The triples as a table by predicate, written once a session and folder of tables: queries read only theirs."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The triples as a table by predicate, so that queries read only theirs; written anew when the tables' files change."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, sf_dir)
+    if key in _stores and _stores[key][0] != state:
+        fs, at = _hadoop(spark, _stores.pop(key)[1])
+        fs.delete(at, True)
     if key not in _stores:
         path = f"{shared_folder(spark)}/triples-{uuid.uuid4().hex}"
         write_store(build(spark, sf_dir), path)
-        _stores[key] = path
-    return read_store(spark, _stores[key])
+        _stores[key] = state, path
+    return read_store(spark, _stores[key][1])
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

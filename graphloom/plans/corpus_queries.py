@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import text as X
 from ..operators import corpus, lineage, linking, patterns, stats, vectors
+from ..session import shared_folder
 from .adapter import TEXT_SQL, UNIFIED_SQL, VISION_SQL, entries, graph, instances, node, slug_sql, table, text_rows, unified, vision_rows, with_graph
 
 QUERIES: dict = {}
@@ -121,6 +124,11 @@ def index_cube(spark, sf_dir):
     return corpus.index_cube(corpus.stratified_split(text_rows(spark, sf_dir), ["dataset_type", "class_id"], "idx"))
 
 
+@query(f"SELECT dataset_type || '/' || split AS subset, n, classes, row_number() OVER (ORDER BY n DESC, dataset_type, split) AS rank FROM (SELECT coalesce(dataset_type, 'all') AS dataset_type, coalesce(split, 'all') AS split, count(*) AS n, count(DISTINCT class_id) AS classes FROM ({_SPLIT.format(TEXT_SQL)}) GROUP BY CUBE (dataset_type, split))")
+def index_summary(spark, sf_dir):
+    return corpus.index_summary(index_cube(spark, sf_dir))
+
+
 @query("SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedup_first(spark, sf_dir):
     return corpus.first_of(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["lang", "source"], ["doc_id"])
@@ -142,6 +150,16 @@ def modality_split(spark, sf_dir):
     return unified(spark, sf_dir).join(parts, "entry_id", "left").groupBy("modality").agg(F.count("*").alias("n"), F.count("k").alias("with_entry"), (F.count("*") - F.count("k")).alias("skipped"))
 
 
+@query(f"SELECT 'vision' AS modality, vision_idx AS idx, 'instance/' || filename AS instance FROM ({UNIFIED_SQL}) WHERE vision_idx IS NOT NULL UNION ALL SELECT 'text', text_idx, 'instance/' || filename FROM ({UNIFIED_SQL}) WHERE text_idx IS NOT NULL")
+def bridge_mapping(spark, sf_dir):
+    return corpus.bridge_mapping(unified(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS instances, count(*) FILTER (WHERE modality = 'vision') AS vision_only, count(*) FILTER (WHERE modality = 'text') AS text_only, count(*) FILTER (WHERE modality = 'both') AS both_sides, count(*) FILTER (WHERE dataset_type = 'confirmed') AS confirmed, count(entry_id) AS with_entry FROM ({UNIFIED_SQL})")
+def build_summary(spark, sf_dir):
+    return corpus.build_summary(unified(spark, sf_dir))
+
+
 @query(with_graph("SELECT s, p, o, o_kind FROM g WHERE s LIKE 'instance/%'", instances=True))
 def instance_triples(spark, sf_dir):
     return instances(spark, sf_dir).select("s", "p", "o", "o_kind")
@@ -197,9 +215,9 @@ def knn_flat(spark, sf_dir):
     return _hits(spark, sf_dir, "id = 7", 20).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_hits_sql('q.vec_id % 25 = 0 AND q.vec_id < 500', 10)})")
+@query(f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_hits_sql('true', 10)})")
 def knn_batch(spark, sf_dir):
-    return _hits(spark, sf_dir, "id % 25 = 0 and id < 500", 10).withColumn("distance", F.round("distance", 6))
+    return _hits(spark, sf_dir, "true", 10).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"SELECT query_id, id, round(1 - distance / 2, 5) AS cosine, rank FROM ({_hits_sql('q.vec_id < 5', 10)})")
@@ -228,18 +246,8 @@ def rrf_fusion(spark, sf_dir):
 
 
 @query(f"""SELECT count(*) AS queries, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr
-FROM (SELECT query_id, min(CASE WHEN a.label = b.label THEN r END) AS first FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ({_hits_sql('q.vec_id < 100', 21)}) WHERE query_id <> id) h JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id GROUP BY query_id)""")
+FROM (SELECT query_id, min(CASE WHEN a.label = b.label THEN r END) AS first FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ({_hits_sql('true', 21)}) WHERE query_id <> id) h JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id GROUP BY query_id)""")
 def recall_mrr(spark, sf_dir):
-    return vectors.retrieval_metrics(_hits(spark, sf_dir, "id < 100", 21), _vectors(spark, sf_dir))
-
-
-@query()
-def knn_batch_all(spark, sf_dir):
-    return _hits(spark, sf_dir, "true", 10).withColumn("distance", F.round("distance", 6))
-
-
-@query()
-def recall_mrr_all(spark, sf_dir):
     return vectors.retrieval_metrics(_hits(spark, sf_dir, "true", 21), _vectors(spark, sf_dir))
 
 
@@ -275,6 +283,51 @@ def knn_pq(spark, sf_dir):
     return vectors.rerank(vectors.knn_pq(vectors.pq_encode(v, books), v, books, 50), v, v, 10)
 
 
+def _recall(spark, sf_dir, hits):
+    """How many rows were queries, and whether their hits have at least 0.9 of the nearest ten."""
+    v = _vectors(spark, sf_dir)
+    exact = vectors.knn_flat(v, v, 10).select("query_id", "id")
+    found = exact.join(hits.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "left")
+    return found.agg(F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recall_90"))
+
+
+_RECALL = "SELECT count(*) AS queries, true AS recall_90 FROM embeddings"
+
+
+@query(_RECALL)
+def knn_ivf_recall(spark, sf_dir):
+    return _recall(spark, sf_dir, _ivf(spark, sf_dir, 0.7, "true"))
+
+
+@query(_RECALL)
+def knn_pq_recall(spark, sf_dir):
+    return _recall(spark, sf_dir, knn_pq(spark, sf_dir))
+
+
+def _stored_index(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vectors.write_index(v, path, vectors.n_lists(v.count()), 16, 64, 2)
+    return v, vectors.read_index(spark, path)
+
+
+@query(f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_hits_sql('true', 10)})")
+def knn_ivf_pq_all_lists(spark, sf_dir):
+    v, index = _stored_index(spark, sf_dir)
+    return vectors.knn_ivf_pq(index, v, v, 10, len(index.centroids), 20).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def knn_ivf_pq(spark, sf_dir):
+    v, index = _stored_index(spark, sf_dir)
+    return vectors.knn_ivf_pq(index, v, v, 10, max(1, int(0.8 * len(index.centroids))), 10)
+
+
+@query(_RECALL)
+def knn_ivf_pq_recall(spark, sf_dir):
+    return _recall(spark, sf_dir, knn_ivf_pq(spark, sf_dir))
+
+
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
 def vector_norms(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("id", F.transform("v", lambda x: x * 3).alias("v"))
@@ -396,7 +449,13 @@ def lineage_semantics(spark, sf_dir):
     return lineage.semantics(*_bridged(spark, sf_dir))
 
 
-@query(with_graph(f"SELECT 'query' AS source, entry AS target, hits AS weight FROM b UNION ALL SELECT entry, category || ':' || name, 1 FROM (SELECT *, row_number() OVER (PARTITION BY entry, category ORDER BY name) AS i FROM ({_SEMANTICS}) WHERE category <> 'subcultures') WHERE i <= 8", instances=True, extra=f"b AS ({_BRIDGE})"))
+_STOP = ", ".join(repr(w) for w in X.STOP_WORDS)
+
+
+@query(with_graph(f"""SELECT 'query' AS source, entry AS target, hits AS weight FROM b
+UNION ALL SELECT m.entry, m.category || ':' || m.name, 1 FROM m JOIN (
+  SELECT category, name, row_number() OVER (PARTITION BY category ORDER BY count(DISTINCT entry) DESC, name) AS i FROM m GROUP BY category, name) t ON t.category = m.category AND t.name = m.name AND t.i <= 8""",
+    instances=True, extra=f"b AS MATERIALIZED ({_BRIDGE}), m AS MATERIALIZED (SELECT DISTINCT entry, category, name FROM ({_SEMANTICS}) WHERE category <> 'subcultures' AND NOT (category = 'tags' AND (length(trim(name)) < 3 OR lower(trim(name)) IN ({_STOP}))))"))
 def lineage_flow(spark, sf_dir):
     g, bridged = _bridged(spark, sf_dir)
     return lineage.flow(bridged, lineage.semantics(g, bridged))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..operators import lineage, patterns, stats, traversal
+from ..ontology import TERMS, vocabulary as vocabulary_triples
 from ..schema import iri, literal, melt
 from .adapter import entries, graph, with_graph
 
@@ -167,16 +168,17 @@ def _typed_uses(side: str) -> str:
     return f"SELECT p, t AS class FROM ({uses}) u JOIN types ON u.o = types.s WHERE o_kind = 'iri' UNION ALL SELECT p, CASE WHEN p IN ('{V.VIEWS}', '{V.COMMENTS}', '{V.ID}') THEN '{V.INTEGER}' WHEN p = '{V.YEAR}' THEN '{V.GYEAR}' ELSE '{V.STRING}' END FROM ({uses}) WHERE o_kind <> 'iri'"
 
 
-def _inference_sql(side: str) -> str:
+def _inference_body(side: str) -> str:
     declared = f"SELECT s AS p, min(o) AS class FROM ont WHERE p = '{V.DOMAIN if side == 'domain' else V.RANGE}' GROUP BY s"
-    return with_graph(
-        f"""SELECT p, class, round(n / total::DOUBLE, 6) AS share, n, others, 'inferred' AS source FROM (
+    return f"""SELECT p, class, round(n / total::DOUBLE, 6) AS share, n, others, 'inferred' AS source FROM (
   SELECT p, max(class) FILTER (WHERE i = 1) AS class, max(n) FILTER (WHERE i = 1) AS n, max(total)::BIGINT AS total, coalesce(string_agg(class, ',' ORDER BY i) FILTER (WHERE i BETWEEN 2 AND 4), '') AS others
   FROM (SELECT *, sum(n) OVER (PARTITION BY p) AS total, row_number() OVER (PARTITION BY p ORDER BY n DESC, class) AS i FROM (SELECT p, class, count(*) AS n FROM ({_typed_uses(side)}) GROUP BY p, class)) GROUP BY p)
 WHERE total >= 3 AND n >= 0.7::DOUBLE * total AND p NOT IN (SELECT p FROM ({declared}))
-UNION ALL SELECT p, class, 1.0::DOUBLE, NULL, '', 'explicit' FROM ({declared})""",
-        extra=_ONTOLOGY_SQL,
-    )
+UNION ALL SELECT p, class, 1.0::DOUBLE, NULL, '', 'explicit' FROM ({declared})"""
+
+
+def _inference_sql(side: str) -> str:
+    return with_graph(_inference_body(side), extra=_ONTOLOGY_SQL)
 
 
 @query(_inference_sql("domain"))
@@ -243,7 +245,14 @@ def shares(spark, sf_dir):
     return stats.shares(graph(spark, sf_dir))
 
 
-@query()
+_PLAIN_OVERLAP = "SELECT x.t AS sub, y.t AS super, count(*) AS shared FROM types x JOIN types y ON x.s = y.s AND x.t <> y.t GROUP BY 1, 2"
+
+
+@query(with_graph(f"""
+SELECT a.sub AS source, a.super AS target, 'subclass' AS kind, round(a.shared / n::DOUBLE, 6) AS weight FROM ({_PLAIN_OVERLAP}) a JOIN (SELECT t, count(*) AS n FROM types GROUP BY t) c ON a.sub = c.t WHERE n >= 3 AND a.shared / n::DOUBLE > 0.7
+UNION ALL SELECT s, o, 'subclass', 1.0::DOUBLE FROM ont WHERE p = '{V.SUBCLASS}'
+UNION ALL SELECT d.class, r.class, p, round(least(d.share, r.share), 6) FROM (SELECT p FROM g WHERE p NOT IN ({', '.join(repr(x) for x in V.STRUCTURAL)}) GROUP BY p HAVING count(*) > 50) u
+  JOIN ({_inference_body("domain")}) d USING (p) JOIN ({_inference_body("range")}) r USING (p) WHERE r.class NOT LIKE 'xsd:%'""", extra=_ONTOLOGY_SQL))
 def structure_graph(spark, sf_dir):
     return stats.structure_graph(entries(spark, sf_dir).unionByName(ontology(spark)))
 
@@ -334,15 +343,16 @@ def unlinked_people(spark, sf_dir):
     return patterns.having(patterns.having(patterns.labels(g), g, V.TYPE, V.PERSON), g, V.SAME_AS, negate=True)
 
 
-@query(with_graph(f"SELECT g.s, g.o AS label FROM g WHERE p = '{V.LABEL}' AND lower(o) LIKE '%steel%' AND s IN (SELECT s FROM types WHERE t IN ({', '.join(repr(t) for t in V.ENTRIES)})) ORDER BY label, s LIMIT 20"))
+@query(with_graph(f"SELECT g.s, g.o AS label FROM g WHERE p = '{V.LABEL}' AND lower(o) LIKE '%bolt%' AND s IN (SELECT s FROM types WHERE t IN ({', '.join(repr(t) for t in V.ENTRIES)})) ORDER BY label, s LIMIT 20"))
 def find_label(spark, sf_dir):
-    return patterns.find_label(entries(spark, sf_dir), "STEEL", 20)
+    return patterns.find_label(entries(spark, sf_dir), "BOLT", 20)
 
 
-_BOTH = f"SELECT s AS a, o AS b FROM ({_EDGES}) UNION ALL SELECT o, s FROM ({_EDGES})"
-_HOPS = f"""h1 AS (SELECT DISTINCT b AS e FROM ({_BOTH}) WHERE a = 'supplier/1' AND b IN (SELECT s FROM types) AND b <> 'supplier/1'),
-h2 AS (SELECT DISTINCT b AS e FROM ({_BOTH}) WHERE a IN (SELECT e FROM h1) AND b IN (SELECT s FROM types) AND b <> 'supplier/1' AND b NOT IN (SELECT e FROM h1)),
-reached AS (SELECT 'supplier/1' AS e, 0 AS depth UNION ALL SELECT e, 1 FROM h1 UNION ALL SELECT e, 2 FROM h2)"""
+_HOPS = f"""ends AS MATERIALIZED (SELECT s AS a, o AS b FROM ({_EDGES}) UNION ALL SELECT o, s FROM ({_EDGES})),
+typed AS MATERIALIZED (SELECT DISTINCT s AS e FROM types),
+h1 AS MATERIALIZED (SELECT DISTINCT b AS e FROM ends JOIN typed ON typed.e = b WHERE a = 'supplier/1' AND b <> 'supplier/1'),
+h2 AS MATERIALIZED (SELECT DISTINCT b AS e FROM ends JOIN h1 ON h1.e = a JOIN typed ON typed.e = b WHERE b <> 'supplier/1' EXCEPT SELECT e FROM h1),
+reached AS MATERIALIZED (SELECT 'supplier/1' AS e, 0 AS depth UNION ALL SELECT e, 1 FROM h1 UNION ALL SELECT e, 2 FROM h2)"""
 
 
 def _reached(spark, sf_dir):
@@ -355,7 +365,7 @@ def k_hop_subgraph(spark, sf_dir):
     return _reached(spark, sf_dir)[1]
 
 
-@query(with_graph(f"SELECT s, p, o FROM ({_EDGES}) WHERE s IN (SELECT e FROM reached WHERE depth < 2) AND o IN (SELECT e FROM reached WHERE depth < 2)", extra=_HOPS))
+@query(with_graph(f"SELECT s, p, o FROM ({_EDGES}) x JOIN reached a ON a.e = x.s AND a.depth < 2 JOIN reached b ON b.e = x.o AND b.depth < 2", extra=_HOPS))
 def subgraph_edges(spark, sf_dir):
     g, reached = _reached(spark, sf_dir)
     return traversal.subgraph(g, reached.filter("depth < 2"))
@@ -366,7 +376,7 @@ def subgraph_types(spark, sf_dir):
     return traversal.nodes_by_type(*_reached(spark, sf_dir))
 
 
-@query(with_graph(f"SELECT s, p, o, o_kind FROM g WHERE s IN (SELECT s FROM types WHERE t = '{V.INSTANCE}')", instances=True))
+@query(with_graph("SELECT s, p, o, o_kind FROM g JOIN i USING (s)", instances=True, extra=f"i AS MATERIALIZED (SELECT DISTINCT s FROM types WHERE t = '{V.INSTANCE}')"))
 def instance_subgraph(spark, sf_dir):
     return traversal.instance_subgraph(graph(spark, sf_dir)).select("s", "p", "o", "o_kind")
 
@@ -392,6 +402,47 @@ def entity_card(spark, sf_dir):
     return stats.entity_card(entries(spark, sf_dir), "customer/7")
 
 
-@query()
+_ALL = f"a AS MATERIALIZED (SELECT s, p, o FROM g UNION ALL SELECT s, '{V.TYPE}', CASE WHEN regexp_extract(s, '[0-9]+$')::BIGINT % 10 <> 0 THEN 'kg:Fan' ELSE '{V.TAG}' END FROM types WHERE t = '{V.PERSON}' UNION ALL SELECT s, p, o FROM ont), kinds AS MATERIALIZED (SELECT s, o AS t FROM a WHERE p = '{V.TYPE}')"
+
+
+@query(with_graph(f"""
+SELECT 'type_combinations' AS issue, count(*) AS n FROM (SELECT DISTINCT types FROM (SELECT s, string_agg(t, ',' ORDER BY t) AS types, count(*) AS n FROM kinds GROUP BY s) WHERE n > 1 AND types NOT IN ('kg:Entity,kg:Tag', 'kg:Series,kg:Tag', 'kg:MemeEntry,kg:Tag', 'kg:Entity,kg:MemeEntry'))
+UNION ALL SELECT 'domain_violations', count(*) FROM (SELECT p, domain, count(*) AS uses, count(*) FILTER (WHERE typed AND NOT fine) AS bad FROM (
+  SELECT u.p, d.o AS domain, y.s IS NOT NULL AS typed, f.s IS NOT NULL AS fine FROM a u JOIN ont d ON d.s = u.p AND d.p = '{V.DOMAIN}' LEFT JOIN (SELECT DISTINCT s FROM kinds) y ON y.s = u.s
+  LEFT JOIN (SELECT DISTINCT kinds.s, dom.o AS domain FROM kinds, (SELECT DISTINCT o FROM ont WHERE p = '{V.DOMAIN}') dom WHERE t = dom.o OR t = '{V.TAG}' OR EXISTS (SELECT 1 FROM ont z WHERE z.p = '{V.SUBCLASS}' AND z.s = t AND z.o = dom.o)) f ON f.s = u.s AND f.domain = d.o) GROUP BY p, domain) WHERE uses > 10 AND bad / uses::DOUBLE > 0.5
+UNION ALL SELECT 'singleton_properties', count(*) FROM (SELECT p FROM a WHERE p NOT IN ({', '.join(repr(x) for x in V.STRUCTURAL)}) GROUP BY p HAVING count(*) = 1 AND NOT regexp_matches(regexp_extract(p, '[^/#:]*$'), '^(has|is)[A-Z]|^(date|year|time)|[Cc]ount$|^same'))
+UNION ALL SELECT 'untyped_entities', count(DISTINCT s) FROM a WHERE s NOT IN (SELECT s FROM kinds)""", extra=_ONTOLOGY_SQL + ", " + _ALL))
 def anomalies(spark, sf_dir):
     return stats.anomalies(_overlapping(entries(spark, sf_dir)).unionByName(ontology(spark)))
+
+
+@query(with_graph(f"SELECT g.s, o AS label, t AS type FROM g JOIN types USING (s) WHERE p = '{V.LABEL}' AND o = 'Supplier#000000003' AND t IN ({', '.join(repr(t) for t in V.ENTRIES)}) ORDER BY s, t LIMIT 1"))
+def exact_label(spark, sf_dir):
+    return patterns.exact_label(entries(spark, sf_dir), "Supplier#000000003")
+
+
+@query(with_graph(f"SELECT s, label FROM (SELECT s, min(o) AS label FROM g WHERE p = '{V.LABEL}' GROUP BY s) WHERE s IN (SELECT s FROM types WHERE t = '{V.PERSON}') ORDER BY label, s LIMIT 20"))
+def sample_entities(spark, sf_dir):
+    return patterns.sample_entities(entries(spark, sf_dir), V.PERSON)
+
+
+@query(with_graph(f"""SELECT e, count(*) AS n, count(DISTINCT x.meme) AS memes, string_agg(DISTINCT type, ',' ORDER BY type) AS types, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, sum(engagement)::BIGINT AS engagement
+FROM ({_SECOND}) x JOIN ({_TOP_MEMES}) m ON m.meme = x.meme GROUP BY e""".replace("x.meme, x.kind, x.e, t.t AS type", "x.meme, x.kind, x.e, t.t AS type").replace("string_agg(DISTINCT kind", "string_agg(DISTINCT x.kind").replace("ORDER BY kind", "ORDER BY x.kind")))
+def connection_totals(spark, sf_dir):
+    g, top = _top_memes(spark, sf_dir)
+    return patterns.connection_totals(patterns.secondary_connections(g, top), top)
+
+
+@query(with_graph(f"SELECT p, count(*) AS n FROM g WHERE p LIKE 'kg:%' GROUP BY p ORDER BY n DESC, p LIMIT 10", instances=True))
+def top_properties(spark, sf_dir):
+    return stats.top_properties(graph(spark, sf_dir))
+
+
+@query(with_graph("SELECT 'class' AS category, t AS metric, count(*)::DOUBLE AS value FROM types GROUP BY t UNION ALL SELECT 'property', p, count(*)::DOUBLE FROM g WHERE p NOT IN (" + ", ".join(repr(p) for p in V.STRUCTURAL) + f") GROUP BY p UNION ALL SELECT 'connected', e, degree::DOUBLE FROM (SELECT e, degree FROM ({_DEGREES}) ORDER BY degree DESC, e LIMIT 5) UNION ALL SELECT 'structure', 'triples', count(*)::DOUBLE FROM g UNION ALL SELECT 'structure', 'edges', count(*) FILTER (WHERE o_kind = 'iri')::DOUBLE FROM g UNION ALL SELECT 'undescribed', p, count(*)::DOUBLE FROM g WHERE p NOT IN (" + ", ".join(repr(p) for p in V.STRUCTURAL) + f") AND p NOT IN (SELECT s FROM ont WHERE p IN ('{V.DOMAIN}', '{V.RANGE}')) GROUP BY p HAVING count(*) > 5", extra=_ONTOLOGY_SQL))
+def analysis_report(spark, sf_dir):
+    return stats.analysis_report(entries(spark, sf_dir), ontology(spark))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{p}', '{o}')" for s, p, o in TERMS) + ") x(s, p, o)")
+def vocabulary(spark, sf_dir):
+    return vocabulary_triples(spark).select("s", "p", "o")

@@ -97,3 +97,20 @@ def test_stream_upsert(spark, tmp_path):
     run()
     assert {r.s: r.old for r in upsert.current_texts(spark, f"{tmp_path}/store").collect()} == {"i1": "three", "i2": "x"}
     assert spark.read.parquet(f"{tmp_path}/store").filter("epoch = 1").count() == 1
+
+
+def test_kept_labels_and_vectors(spark, tmp_path):
+    d = spark.createDataFrame([("Q2", "b", 0), ("Q1", "a", 1)], "id string, label string, src int")
+    tables.write_labels(d, str(tmp_path / "labels"))
+    assert sorted(map(tuple, tables.read_labels(spark, str(tmp_path / "labels")).collect())) == sorted(map(tuple, d.collect()))
+    v = spark.createDataFrame([(1, "x", [1.0]), (2, "y", [2.0]), (3, "y", [3.0])], "idx long, class_id string, v array<double>")
+    tables.write_vectors(v, str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v/vectors")).count() == 3
+    assert [(r.class_id, r.popularity) for r in spark.read.json(str(tmp_path / "v/popularity")).orderBy("popularity_rank").collect()] == [("y", 2), ("x", 1)]
+
+
+def test_latin_texts_and_rejected_lines(spark, tmp_path):
+    (tmp_path / "o.csv").write_bytes("file,Text\na-1.png,caf\u00e9 noir\n".encode("latin-1"))
+    assert tables.read_ocr(spark, str(tmp_path / "o.csv")).first().text == "caf\u00e9 noir"
+    (tmp_path / "t.nt").write_text("<a> <b> <c> .\n# note\n\n<a> b c\n")
+    assert tuple(triples.rejected_ntriples(spark, str(tmp_path / "t.nt")).first()) == (1, "<a> b c")
