@@ -108,8 +108,8 @@ FILE_COLUMNS = ["Image Ref", "file", "filename", "image"]
 
 
 def _undecodable(spark: SparkSession, path: str) -> bool:
-    """Whether some line isn't UTF-8; such bytes are read as U+FFFD."""
-    return not spark.read.text(path).filter(F.col("value").contains("\ufffd")).isEmpty()
+    """Whether some line isn't UTF-8."""
+    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_ocr(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
