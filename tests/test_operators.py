@@ -289,3 +289,23 @@ def test_names(spark):
     tags = spark.createDataFrame([("The",), (" is ",), ("ab",), ("doge",)], "n string")
     assert [r[0] for r in tags.select(X.valid_tag(F.col("n"))).collect()] == [False, False, False, True]
     assert tags.select(X.shortened(F.col("n"), 2)).first()[0] == "Th"
+
+
+def test_encoder_reads_whole_texts_of_many_words(spark):
+    import hashlib
+    import time
+
+    def want(text, dim=16):
+        v = np.zeros(dim)
+        for w in text.lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[h % dim] += 1 if h >> 63 else -1
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    long = " ".join(f"Word{i % 97}" for i in range(3000)) + " end of it " + "tail " * 500
+    texts = [long, "", None, " \t\n ", "\u00c4b a\u2003b A", *(" ".join(f"{i}-{j}" for j in range(40)) for i in range(9000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    began = time.perf_counter()
+    got = {r.id: r.v for r in df.select("id", vectors.hashing_encoder(16)(F.col("t")).alias("v")).collect()}
+    assert time.perf_counter() - began < 30  # each text once went over all words known so far
+    assert all(np.allclose(got[i], want(t or ""), atol=1e-12) for i, t in enumerate(texts[:200]))
