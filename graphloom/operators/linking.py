@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.text import label_variants, normalize_label, predicate_name, slug, temporal_predicate
 from ..schema import iri, literal, melt
-from ..session import BROADCAST_ROWS
+from ..session import cut
 from .patterns import match
 
 
@@ -68,32 +72,80 @@ def link_labels(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return best.select("name", "b.id", F.when(F.col("b.src") == 0, "label").otherwise("alias").alias("via"))
 
 
-def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``ratio``, twice the matching characters over all, by recursive longest blocks."""
+#: Frequent relations that are sent to all tasks at once; with more, each part of them is sent in turn.
+SENT_RELATIONS = 200_000
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype=float)
+def _best_match(canon, threshold: float):
+    """The most similar of the shared relations to each of a column.
+
+    Characters that both have, each as often as in the one that has it less, bound those that match. The candidates
+    are scored by this bound from above, until it falls under the best score, so that few are and none is missed.
+    """
+
+    def counts(words: list[str]) -> np.ndarray:
+        out = np.zeros((64, len(words)), np.int32)  # characters share a place, by which a bound is never less
+        for i, w in enumerate(words):
+            np.add.at(out[:, i], [ord(c) % 64 for c in w], 1)
+        return out if out.max(initial=0) > 255 else out.astype(np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
 
-    return pairs.withColumn("ratio", ratio(F.col(a), F.col(b)))
+        words = sorted(canon.value, key=len)
+        length, have = np.array([len(w) for w in words], np.int64), counts(words)
+        matcher, t = SequenceMatcher(None), max(threshold, 1e-9)
+        for b in batches:
+            out = []
+            for w in b.column(0).to_pylist():
+                n = len(w)
+                # lengths alone rule most out: matching characters are at most those of the shorter one
+                lo, hi = np.searchsorted(length, t * n / (2 - t) - 1e-9), np.searchsorted(length, n * (2 - t) / t + 1e-9, "right")
+                own, both = counts([w])[:, 0], np.zeros(hi - lo, np.int64)
+                for c in np.flatnonzero(own):
+                    both += np.minimum(have[c, lo:hi], own[c])
+                bound = np.where(n + length[lo:hi] > 0, 2.0 * both / np.maximum(n + length[lo:hi], 1), 1.0)
+                at = np.flatnonzero(bound >= threshold)
+                bound = bound[at]
+                at += lo
+                best = None
+                matcher.set_seq1(w)
+                for j in np.argsort(-bound, kind="stable"):
+                    if best is not None and bound[j] < best[0]:
+                        break
+                    matcher.set_seq2(words[at[j]])
+                    r = matcher.ratio()
+                    if r >= threshold and (best is None or (r, words[at[j]].encode()) > (best[0], best[1].encode())):
+                        best = r, words[at[j]]
+                if best is not None:
+                    out.append((w, best[1], best[0]))
+            yield pa.RecordBatch.from_pydict({"relation": pa.array([x[0] for x in out], pa.string()), "canonical": pa.array([x[1] for x in out], pa.string()), "ratio": pa.array([x[2] for x in out], pa.float64())})
+
+    return run
 
 
 def canonical_relations(counts: DataFrame, frequent: int = 5, threshold: float = 0.6) -> DataFrame:
     """(relation, canonical, ratio): rare relations with the most similar frequent one, if similar enough.
 
-    ``counts`` has relation and n, a row a distinct relation. Pairs whose lengths rule the threshold out aren't
-    scored; the frequent relations are broadcast if they are counted to be few.
+    ``counts`` has relation and n, a row a distinct relation. The ratio is twice the matching characters over all, by
+    recursive longest blocks. The frequent relations are sent to all tasks, ``SENT_RELATIONS`` or so at once.
     """
-    canon = counts.filter(F.col("n") >= frequent).select(F.col("relation").alias("canonical"))
+    counts = cut(counts.filter("relation is not null"))
+    canon = counts.filter(F.col("n") >= frequent).select("relation")
     rare = counts.filter(F.col("n") < frequent).select("relation")
-    few = canon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # matching characters are at most those of the shorter one, and at most those that both have
-    a, b = F.length("relation"), F.length("canonical")
-    pairs = rare.join(F.broadcast(canon) if few else canon, (2 * a >= threshold * (a + b)) & (2 * b >= threshold * (a + b)))
-    scored = similarity(pairs, "relation", "canonical").filter(F.col("ratio") >= threshold)
-    return scored.groupBy("relation").agg(F.max_by("canonical", F.struct("ratio", F.col("canonical"))).alias("canonical"), F.round(F.max("ratio"), 6).alias("ratio"))
+    parts = max(1, -(-canon.count() // SENT_RELATIONS))
+    rare = rare.repartition(max(1, -(-rare.count() // RARE_ROWS)))
+    found = None
+    for i in range(parts):
+        words = [r.relation for r in canon.filter(F.pmod(F.xxhash64("relation"), F.lit(parts)) == i).collect()]
+        shared = counts.sparkSession.sparkContext.broadcast(sorted(words))
+        part = rare.mapInArrow(_best_match(shared, threshold), "relation string, canonical string, ratio double")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("relation").agg(F.max_by("canonical", F.struct("ratio", F.col("canonical"))).alias("canonical"), F.round(F.max("ratio"), 6).alias("ratio"))
+
+
+#: Rare relations of a task.
+RARE_ROWS = 2000
 
 
 def parse_relations(text: str | None) -> list[tuple[str, str, str]]:

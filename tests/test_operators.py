@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from graphloom import vocab as V
 from graphloom.operators import build, corpus, lineage, linking, patterns, stats, traversal, vectors
@@ -309,3 +310,24 @@ def test_encoder_reads_whole_texts_of_many_words(spark):
     got = {r.id: r.v for r in df.select("id", vectors.hashing_encoder(16)(F.col("t")).alias("v")).collect()}
     assert time.perf_counter() - began < 30  # each text once went over all words known so far
     assert all(np.allclose(got[i], want(t or ""), atol=1e-12) for i, t in enumerate(texts[:200]))
+
+
+def test_canonical_relations_by_brute_force(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(2)
+    words = sorted({"".join(rng.choice(list("abcde\u00e9"), rng.integers(1, 9))) for _ in range(400)} | {"ab" * 150, "ab" * 149 + "c"})
+    counts = [(w, 9 if i % 3 == 0 else 1) for i, w in enumerate(words)]
+    want = []
+    for w, n in counts:
+        best = max(((SequenceMatcher(None, w, c).ratio(), c.encode()) for c, m in counts if m >= 5), default=None)
+        if n < 5 and best[0] >= 0.6:
+            want.append((w, best[1].decode(), round(best[0], 6)))
+    df = spark.createDataFrame(counts, "relation string, n long")
+    assert rows(linking.canonical_relations(df)) == sorted(want)
+    monkeypatch.setattr(linking, "SENT_RELATIONS", 50)  # relations in three parts
+    assert rows(linking.canonical_relations(df)) == sorted(want)
+    scored = []
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: scored.append(1) or 0.0)
+    next(linking._best_match(type("Shared", (), {"value": [w for w, n in counts if n > 1]}), 0.6)(iter([pa.RecordBatch.from_pydict({"relation": ["abcd"]})])))
+    assert 0 < len(scored) < len(words) / 6  # all that aren't ruled out; most are
