@@ -44,7 +44,7 @@ def relation_triples(relations: DataFrame, source: str) -> DataFrame:
     Terms under two characters are dropped. A temporal relation describes its subject; any other relates two
     entities, which the main entity mentions. Predicates carry the source that they were extracted from.
     """
-    rows = relations.filter((F.length(F.trim("subject")) >= 2) & (F.length(F.trim("object")) >= 2)).distinct()
+    rows = cut(relations.filter((F.length(F.trim("subject")) >= 2) & (F.length(F.trim("object")) >= 2)).distinct())  # it is read six times
     rows = rows.withColumn("s", F.concat(F.lit("entity/"), slug(F.col("subject")))).withColumn("o", F.concat(F.lit("entity/"), slug(F.col("object")))).withColumn("time", temporal_predicate(F.col("relation"), F.col("object")))
     pred = F.concat(F.lit("rel:"), predicate_name(F.col("relation")))
     plain = rows.filter("time is null").withColumn("p", pred)
@@ -188,9 +188,11 @@ def relations_of(texts):
 
 def toy_relations(texts: DataFrame) -> DataFrame:
     """(main, subject, relation, object) of the first three words, in place of a model's."""
-    w = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), " ")
-    w = F.filter(w, lambda x: x != "")
-    return texts.select("main", F.get(w, F.lit(0)).alias("subject"), F.get(w, F.lit(1)).alias("relation"), F.get(w, F.lit(2)).alias("object")).dropna()
+    # a word begins at its first letter or digit and ends at a space; what else is in it is left out
+    w = F.lower("text")
+    word = lambda i: F.regexp_replace(F.regexp_extract(w, "^" + "[^a-z0-9]*+([a-z0-9][^ ]*+)" * i, i), "[^a-z0-9]", "")
+    rows = texts.select("main", word(1).alias("subject"), word(2).alias("relation"), word(3).alias("object"))
+    return rows.filter("main is not null and object <> ''")
 
 
 #: What a linked entity of each class gets besides the link: predicates of its label, and further types.

@@ -331,3 +331,11 @@ def test_canonical_relations_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: scored.append(1) or 0.0)
     next(linking._best_match(type("Shared", (), {"value": [w for w, n in counts if n > 1]}), 0.6)(iter([pa.RecordBatch.from_pydict({"relation": ["abcd"]})])))
     assert 0 < len(scored) < len(words) / 6  # all that aren't ruled out; most are
+
+
+def test_toy_relations(spark):
+    texts = ["One, two-three  -- FOUR five", " - a\tb c\u00e9d e", "a b", "", None, "x\ny z w", "\u212aelvin IS \u0130t ok"]
+    want = [(str(i), *w[:3]) for i, t in enumerate(texts) if t is not None and len(w := [x for x in __import__("re").sub("[^a-z0-9 ]", "", t.lower()).split(" ") if x]) >= 3]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "main string, text string")
+    assert rows(linking.toy_relations(df)) == sorted(want)
+    assert len(want) >= 3
