@@ -196,9 +196,10 @@ def _recall_of_all_rows(spark, name):
     got = {}
     for r in corpus_queries.QUERIES[name](spark, folder).collect():
         got.setdefault(r.query_id, set()).add(r.id)
-    assert set(got) == set(ids.tolist()) and all(len(h) == 10 for h in got.values())
-    near = ids[np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :10]]
-    return np.mean([len(got[i] & set(n)) / 10 for i, n in zip(ids.tolist(), near.tolist())])
+    asked = ids % 50 == 0
+    assert set(got) == set(ids[asked].tolist()) and all(len(h) == 10 for h in got.values())
+    near = ids[np.argsort(((x[asked][:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :10]]
+    return np.mean([len(got[i] & set(n)) / 10 for i, n in zip(ids[asked].tolist(), near.tolist())])
 
 
 def test_quantised_search_of_all_rows(spark):
@@ -211,7 +212,7 @@ def test_searches_of_all_rows(spark):
     assert _recall_of_all_rows(spark, "knn_ivf") >= 0.9
     assert _recall_of_all_rows(spark, "knn_batch") == 1
     folder = "/root/testdata/sf0.01"
-    assert corpus_queries.QUERIES["recall_mrr"](spark, folder).first().queries == spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    assert corpus_queries.QUERIES["recall_mrr"](spark, folder).first().queries == spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 50 = 0").count()
 
 
 def test_noise(spark):
@@ -339,3 +340,29 @@ def test_toy_relations(spark):
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "main string, text string")
     assert rows(linking.toy_relations(df)) == sorted(want)
     assert len(want) >= 3
+
+
+def test_searches_in_rounds_of_close_vectors(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((20, 16)), 60, axis=0) + 1e-4 * rng.standard_normal((1200, 16))  # groups that codes can't tell apart
+    x[60:70] = x[60]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    q = df.filter("id % 6 = 0")
+    want = []
+    for i in range(0, 1200, 6):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), 9)
+        want += [(i, int(j), r + 1) for r, j in enumerate(np.lexsort((np.arange(1200), d))[:10])]
+    want.sort()
+    hits = lambda df: rows(df.select("query_id", "id", "rank"))
+    monkeypatch.setattr(vectors, "SENT_QUERIES", 70)
+    monkeypatch.setattr(vectors, "TRAINING_ROWS", 600)
+    assert vectors.training(df).count() < 800
+    assert hits(vectors.knn_flat(df, q, 10)) == want
+    c = vectors.train_lists(vectors.training(df), 8, 3)
+    assert hits(vectors.knn_ivf(vectors.assign(df, c), q, c, 10, 8)) == want
+    vectors.write_index(df, str(tmp_path / "i"), 8, 4, 16, 2)
+    index = vectors.read_index(spark, str(tmp_path / "i"))
+    assert index.codes.count() == 1200
+    assert hits(vectors.knn_ivf_pq(index, df, q, 10, 8, None)) == want
+    some = hits(vectors.knn_ivf_pq(index, df, q, 10, 5, None))
+    assert len(set(some) & set(want)) >= 0.9 * len(want)
