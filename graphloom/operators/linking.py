@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.text import label_variants, normalize_label, predicate_name, slug, temporal_predicate
 from ..schema import iri, literal, melt
-from ..session import cut
+from ..session import cut, spread
 from .patterns import match
 
 
@@ -35,7 +35,7 @@ def registry_types(assertions: DataFrame) -> DataFrame:
 def prior_type(triples: DataFrame) -> DataFrame:
     """(s, t): the preferred one of each node's types."""
     rank = F.array_position(F.array(*map(F.lit, V.TYPE_ORDER)), F.col("o"))
-    return match(triples, p=V.TYPE).groupBy("s").agg(F.min_by("o", F.struct(F.when(rank > 0, rank).otherwise(len(V.TYPE_ORDER) + 1), F.col("o"))).alias("t"))
+    return spread(match(triples, p=V.TYPE), "s").groupBy("s").agg(F.min_by("o", F.struct(F.when(rank > 0, rank).otherwise(len(V.TYPE_ORDER) + 1), F.col("o"))).alias("t"))
 
 
 def relation_triples(relations: DataFrame, source: str) -> DataFrame:

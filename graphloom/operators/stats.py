@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.text import local_name
-from ..session import cut
+from ..session import cut, spread
 from .patterns import labels, match, subjects, types
 
 _count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
@@ -67,7 +67,9 @@ def degree_stats(triples: DataFrame, prefixes: list[str] | None = None) -> DataF
 
 def density(triples: DataFrame) -> DataFrame:
     """Edges over n(n-1), in percent, its complement, and edges and triples a node."""
-    g = graph_structure(triples)
+    iri = F.col("o_kind") == "iri"
+    nodes = triples.select(F.explode(F.when(iri, F.array("s", "o")).otherwise(F.array("s"))).alias("t")).distinct().agg(F.count("*").alias("nodes"))
+    g = triples.agg(F.count("*").alias("triples"), _count(iri).alias("edges")).crossJoin(nodes)
     n = F.col("nodes").cast("double")
     share = F.coalesce(F.try_divide(F.col("edges") * 100.0, n * (n - 1)), F.lit(0.0))
     return g.select("nodes", "edges", F.round(share, 9).alias("density_percent"), F.round(100 - share, 9).alias("sparsity_percent"), F.round(F.try_divide(F.col("edges"), n), 6).alias("edges_per_node"), F.round(F.try_divide(F.col("triples"), n), 6).alias("triples_per_node"))
@@ -92,7 +94,7 @@ def temporal_coverage(triples: DataFrame) -> DataFrame:
 
 def enrichment_stats(triples: DataFrame) -> DataFrame:
     """Links to other graphs, and entities of more than one type."""
-    per = types(triples).groupBy("s").agg(F.count("*").alias("n"))
+    per = spread(types(triples), "s").groupBy("s").agg(F.count("*").alias("n"))
     typed = per.agg(F.count("*").alias("entities"), _count(F.col("n") > 1).alias("multi_typed"))
     links = match(triples, p=V.SAME_AS).agg(_count(F.col("o").contains("wikidata.org")).alias("wikidata_links"), _count(~F.col("o").contains("wikidata.org")).alias("other_links"), F.count_distinct("s").alias("linked"))
     return typed.crossJoin(links).withColumn("link_rate", F.round(F.try_divide(F.col("linked") * 100.0, "entities"), 6)).withColumn("multi_typed_rate", F.round(F.try_divide(F.col("multi_typed") * 100.0, "entities"), 6))
@@ -150,10 +152,10 @@ def inferred_classes(triples: DataFrame, side: str, least: int = 3, share: float
 
 def class_overlap(triples: DataFrame, least: int = 3, candidate: float = 0.5, kept: float = 0.8) -> DataFrame:
     """(sub, super, shared, share, kept, source): classes most of whose members another class has; and declared ones."""
-    t = cut(types(triples))  # it is read four times
+    t = cut(types(triples))  # it is read twice
     size = t.groupBy(F.col("t").alias("sub")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    multi = t.join(t.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s"), "s", "left_semi")  # others share nothing
-    both = multi.withColumnRenamed("t", "sub").join(multi.withColumnRenamed("t", "super"), "s").filter("sub <> super").groupBy("sub", "super").agg(F.count("*").alias("shared"))
+    of = spread(t, "s").groupBy("s").agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1)  # others share nothing
+    both = of.select(F.explode("ts").alias("sub"), "ts").select("sub", F.explode("ts").alias("super")).filter("sub <> super").groupBy("sub", "super").agg(F.count("*").alias("shared"))
     share = F.col("shared") / F.col("n")
     found = both.join(size, "sub").filter(share > candidate).select("sub", "super", "shared", F.round(share, 6).alias("share"), (share > kept).alias("kept"), F.lit("inferred").alias("source"))
     declared = match(triples, p=V.SUBCLASS).select(F.col("s").alias("sub"), F.col("o").alias("super"), F.lit(None).cast("long").alias("shared"), F.lit(1.0).alias("share"), F.lit(True).alias("kept"), F.lit("explicit").alias("source"))
@@ -169,10 +171,12 @@ def domain_violations(triples: DataFrame, least: int = 10, severe: float = 0.5)
     sub = match(triples, p=V.SUBCLASS).select(F.col("s").alias("t"), F.col("o").alias("domain"))
     fine = domain.select("domain").distinct().select("domain", F.col("domain").alias("t")).unionByName(sub.join(domain.select("domain").distinct(), "domain", "left_semi").select("domain", "t")).distinct()
     uses = triples.select("s", "p").join(domain, "p")
-    typed = uses.join(types(triples), "s", "left").join(fine.withColumn("ok", F.lit(1)), ["domain", "t"], "left")
-    per = typed.groupBy("p", "domain", "s").agg(F.max((F.col("ok").isNotNull() | (F.col("t") == V.TAG)).cast("int")).alias("fine"), F.count("t").alias("types"), F.count("*").alias("rows"))
     n = uses.groupBy("p", "domain").agg(F.count("*").alias("uses"))
-    bad = per.filter("types > 0 and coalesce(fine, 0) = 0").join(uses.groupBy("p", "domain", "s").agg(F.count("*").alias("u")), ["p", "domain", "s"]).groupBy("p", "domain").agg(F.sum("u").cast("long").alias("violations"))
+    # of each subject its uses by predicate, and the domains that its types are fine for: two exchanges by subject
+    per = spread(uses, "s").groupBy("s", "p", "domain").agg(F.count("*").alias("u"))
+    kinds = types(triples).join(fine.groupBy("t").agg(F.collect_set("domain").alias("domains")), "t", "left")
+    kinds = spread(kinds, "s").groupBy("s").agg(F.flatten(F.collect_list(F.coalesce("domains", F.array().cast("array<string>")))).alias("domains"), F.max((F.col("t") == V.TAG).cast("int")).alias("tag"))
+    bad = per.join(kinds, "s").filter((F.col("tag") == 0) & ~F.array_contains("domains", F.col("domain"))).groupBy("p", "domain").agg(F.sum("u").cast("long").alias("violations"))
     rate = F.col("violations") / F.col("uses")
     return n.join(bad, ["p", "domain"]).filter((F.col("uses") > least) & (rate > severe)).select("p", "domain", "uses", "violations", F.round(rate, 6).alias("rate"))
 
@@ -180,17 +184,21 @@ def domain_violations(triples: DataFrame, least: int = 10, severe: float = 0.5)
 def multi_typed(triples: DataFrame, accepted: list[list[str]] | None = None) -> DataFrame:
     """Combinations of types that nodes have, and whether they are expected ones."""
     accepted = [",".join(sorted(x)) for x in (accepted or [[V.TAG, V.ENTITY], [V.TAG, V.SERIES], [V.TAG, V.MEME], [V.ENTITY, V.MEME]])]
-    per = types(triples).groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("types"), F.count("*").alias("n")).filter("n > 1")
+    per = spread(types(triples), "s").groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("types"), F.count("*").alias("n")).filter("n > 1")
     return per.groupBy("types").agg(F.count("*").alias("nodes")).withColumn("expected", F.col("types").isin(*accepted))
 
 
 def provenance(triples: DataFrame) -> DataFrame:
-    """Instances, those with text, entries, metadata nodes and links, in one pass over the types and one over subjects."""
+    """Instances, those with text, entries, metadata nodes and links: each is shuffled once, by itself."""
     t = types(triples)
     entry, meta = F.col("t").isin(*V.ENTRIES), F.col("t").isin(V.TAG, V.MEME_TYPE, V.SERIES, V.STATUS, V.BADGE)
-    a = t.agg(F.count_distinct(F.when(F.col("t") == V.INSTANCE, F.col("s"))).alias("instances"), F.count_distinct(F.when(entry, F.col("s"))).alias("entries"), F.count_distinct(F.when(meta, F.col("s"))).alias("metadata"))
-    b = triples.agg(F.count_distinct(F.when(F.col("p") == V.OCR_TEXT, F.col("s"))).alias("with_text"), F.count_distinct(F.when((F.col("p") == V.SAME_AS) & F.col("o").contains("wikidata.org"), F.col("o"))).alias("wikidata_nodes"), _count((F.col("p") == V.SAME_AS) & F.col("o").contains("wikidata.org")).alias("wikidata_edges"))
-    return a.crossJoin(b)
+    per = spread(t, "s").groupBy("s").agg(F.max((F.col("t") == V.INSTANCE).cast("int")).alias("i"), F.max(entry.cast("int")).alias("e"), F.max(meta.cast("int")).alias("m"))
+    a = per.agg(*(_count(F.col(c) == 1).alias(name) for c, name in (("i", "instances"), ("e", "entries"), ("m", "metadata"))))
+    texts = spread(match(triples, p=V.OCR_TEXT).select("s"), "s").distinct().agg(F.count("*").alias("with_text"))
+    links = match(triples, p=V.SAME_AS).filter(F.col("o").contains("wikidata.org")).select("o")
+    per = spread(links, "o").groupBy("o").agg(F.count("*").alias("n"))
+    b = per.agg(F.count("*").alias("wikidata_nodes"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("wikidata_edges"))
+    return a.crossJoin(texts).crossJoin(b)
 
 
 def extraction_stats(triples: DataFrame) -> DataFrame:
@@ -241,8 +249,10 @@ def singletons(triples: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def untyped(triples: DataFrame, prefix: str = "") -> DataFrame:
     """Nodes without a type: those that have triples, and the triples that they have."""
-    rows = triples.filter(F.col("s").startswith(prefix)).join(types(triples).select("s").distinct(), "s", "left_anti")
-    return rows.agg(F.count_distinct("s").alias("entities"), F.count("*").alias("triples"))
+    # a subject's triples are counted in the part that has its types: one exchange, no join
+    rows = triples.filter(F.col("s").startswith(prefix)).select("s", (F.col("p") == V.TYPE).cast("int").alias("typed"))
+    per = spread(rows, "s").groupBy("s").agg(F.max("typed").alias("typed"), F.count("*").alias("n")).filter("typed = 0")
+    return per.agg(F.count("*").alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("triples"))
 
 
 def anomalies(triples: DataFrame) -> DataFrame:

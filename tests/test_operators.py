@@ -366,3 +366,15 @@ def test_searches_in_rounds_of_close_vectors(spark, tmp_path, monkeypatch):
     assert hits(vectors.knn_ivf_pq(index, df, q, 10, 8, None)) == want
     some = hits(vectors.knn_ivf_pq(index, df, q, 10, 5, None))
     assert len(set(some) & set(want)) >= 0.9 * len(want)
+
+
+def test_no_task_groups_more_than_its_rows(spark, monkeypatch):
+    from graphloom import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    n = 1000
+    df = spark.createDataFrame([*((f"e{i}", V.TYPE, V.EVENT, *T) for i in range(n)), *((f"e{i}", V.TYPE, V.TAG, *T) for i in range(0, n, 4)), *((f"e{i % 500}", V.MENTIONS, f"x{i}", *T) for i in range(n)), (V.MENTIONS, V.DOMAIN, V.PERSON, *T)], TRIPLES)
+    assert session.spread(df, "s").rdd.getNumPartitions() == 23
+    assert rows(stats.domain_violations(df)) == [(V.MENTIONS, V.PERSON, 1000, 750, 0.75)]
+    assert tuple(stats.untyped(df).first()) == (1, 1)
+    assert {(r["sub"], r["super"]): r.shared for r in stats.class_overlap(df).collect()} == {(V.TAG, V.EVENT): 250}
