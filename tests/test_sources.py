@@ -28,6 +28,31 @@ def test_store_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(p" in plan
 
 
+def test_store_has_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(triples, "FILE_ROWS", 100)
+    df = spark.createDataFrame([(f"e{i}", p, "x", "iri", None, None) for i in range(1000) for p in (V.TYPE, V.MENTIONS)], TRIPLES).coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    triples.write_store(df, f"{tmp_path}/store")
+    assert before == (spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+    store = triples.read_store(spark, f"{tmp_path}/store")
+    assert key(store) == key(df)
+    assert {r["count"] for r in store.groupBy("p", F.input_file_name()).count().collect()} == {100}
+
+
+def test_build_bounds_the_rows_of_a_task(spark, monkeypatch):
+    from graphloom import session
+    from graphloom.plans import adapter
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    df = adapter.build_entries(spark, sf)
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    tasks = df.filter((F.col("p") == V.MENTIONS) & F.col("s").startswith("order/")).groupBy(F.spark_partition_id()).count().filter("count > 0")
+    assert tasks.count() > 5 and tasks.agg(F.sum("count")).first()[0] == items.select("l_orderkey", "l_partkey").distinct().count()
+    views = {r.s: r.o for r in df.filter(F.col("p") == V.VIEWS).collect()}
+    assert views == {f"part/{r.l_partkey}": str(r["count"]) for r in items.groupBy("l_partkey").count().collect()}
+
+
 def test_turtle(spark, tmp_path):
     (tmp_path / "a.ttl").write_text('@prefix k: <http://k/> .\n# note\nk:a a k:T ; k:p "x\\"y", "chat"@fr , 5 ; k:q <http://z> .\nk:b k:n "1"^^k:int .\n')
     got = {(r.s, r.p, r.o, r.o_kind) for r in triples.read_turtle(spark, str(tmp_path / "a.ttl")).collect()}
