@@ -378,3 +378,17 @@ def test_no_task_groups_more_than_its_rows(spark, monkeypatch):
     assert rows(stats.domain_violations(df)) == [(V.MENTIONS, V.PERSON, 1000, 750, 0.75)]
     assert tuple(stats.untyped(df).first()) == (1, 1)
     assert {(r["sub"], r["super"]): r.shared for r in stats.class_overlap(df).collect()} == {(V.TAG, V.EVENT): 250}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_having_spreads_what_it_looks_up(spark, g, monkeypatch):
+    from graphloom import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    found = patterns.having(patterns.labels(g), g, V.TYPE, V.MEME)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert rows(found) == [("m1", "One"), ("m2", "Two")]
+    assert rows(patterns.find_label(g, "o", 5)) == [("m1", "One"), ("m2", "Two")]
