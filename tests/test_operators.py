@@ -392,3 +392,17 @@ def test_having_spreads_what_it_looks_up(spark, g, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan(found)
     assert rows(found) == [("m1", "One"), ("m2", "Two")]
     assert rows(patterns.find_label(g, "o", 5)) == [("m1", "One"), ("m2", "Two")]
+
+
+def test_structure_counts_long_terms_by_digest(spark, monkeypatch):
+    import hashlib
+
+    from graphloom import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    n, text = 1000, "x" * 5000
+    short = "\0" + hashlib.sha256(text.encode()).hexdigest()
+    df = spark.createDataFrame([*((f"e{i}", V.TYPE, V.EVENT, *T) for i in range(n)), *((f"e{i}", V.MENTIONS, f"e{i % 7}", *T) for i in range(n)), *((f"e{i}", V.OCR_TEXT, t, "literal", V.STRING, None) for i, t in enumerate((text, text, text + "y", short)))], TRIPLES)
+    structure = stats.graph_structure(df)
+    assert structure.first().asDict() == {"triples": 2004, "edges": 2000, "literal_triples": 4, "subjects": 1000, "iri_objects": 8, "literal_objects": 3, "nodes": 1001, "iri_percent": 99.800399}
+    assert "sha2" in plan(structure) and "REPARTITION_BY_NUM" in plan(structure)
