@@ -140,11 +140,14 @@ def inferred_classes(triples: DataFrame, side: str, least: int = 3, share: float
     """
     declared = match(triples, p=V.DOMAIN if side == "domain" else V.RANGE).groupBy(F.col("s").alias("p")).agg(F.min("o").alias("class"))
     uses = triples.filter(~F.col("p").isin(*V.STRUCTURAL))
-    t = types(triples)
+    ends = uses.select("p", "s") if side == "domain" else uses.filter("o_kind = 'iri'").select("p", F.col("o").alias("s"))
+    rows = ends.count()
+    # a part holds the types of its nodes and passes the uses of them by, which have no bound: no side is sorted
+    typed = spread(ends, "s", rows=rows).join(spread(types(triples), "s", rows=rows).hint("shuffle_hash"), "s").select("p", F.col("t").alias("class"))
     if side == "domain":
-        known = uses.select("p", "s").join(t, "s").select("p", F.col("t").alias("class"))
+        known = typed
     else:
-        nodes = uses.filter("o_kind = 'iri'").select("p", F.col("o").alias("s")).join(t, "s").select("p", F.col("t").alias("class"))
+        nodes = typed
         known = nodes.unionByName(uses.filter("o_kind <> 'iri'").select("p", F.coalesce("o_datatype", F.lit(V.STRING)).alias("class")))
     per = known.groupBy("p", "class").agg(F.count("*").alias("n"))
     group = Window.partitionBy("p")

@@ -406,3 +406,12 @@ def test_structure_counts_long_terms_by_digest(spark, monkeypatch):
     structure = stats.graph_structure(df)
     assert structure.first().asDict() == {"triples": 2004, "edges": 2000, "literal_triples": 4, "subjects": 1000, "iri_objects": 8, "literal_objects": 3, "nodes": 1001, "iri_percent": 99.800399}
     assert "sha2" in plan(structure) and "REPARTITION_BY_NUM" in plan(structure)
+
+
+def test_inference_sends_uses_past_types(spark):
+    n = 1000
+    df = spark.createDataFrame([*((f"e{i}", V.TYPE, V.EVENT, *T) for i in range(n)), *((f"e{i}", V.MENTIONS, f"e{i % 7}", *T) for i in range(n))], TRIPLES)
+    for side in ("domain", "range"):
+        found = stats.inferred_classes(df, side)
+        assert "ShuffledHashJoin" in plan(found)
+        assert [(r["class"], r.n) for r in found.collect()] == [(V.EVENT, n)]
